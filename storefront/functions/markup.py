@@ -70,6 +70,8 @@ _START_TAGS = (
     rf"<(?:{COMMENT}|{raw_element(_RAW_TEXT, group=2)}|{BOGUS_COMMENT}|{ANY_TAG})"
 )
 
+_TITLE = rf"(?is)<title{NAME_END}{ATTRIBUTES}{CLOSE}(.*?)(?:</title{NAME_END}|{END})"
+
 
 def start_tags(html: Column) -> Column:
     """``ARRAY<STRING>`` of the start tags as written, in document order."""
@@ -95,6 +97,11 @@ def visible_text(
     return decode_entities(F.regexp_replace(html, _NOT_TEXT, separator), names=names)
 
 
+def title_text(html: Column) -> Column:
+    """Text of the page's title as it would show: references decoded, outer space kept."""
+    return decode_entities(F.regexp_extract(html, _TITLE, 1))
+
+
 def anchor_hrefs(html: Column, skip_noscript: bool = False) -> Column:
     """``ARRAY<STRING>`` of the anchors' href values in document order."""
     pattern = _ANCHORS_OUTSIDE_NOSCRIPT if skip_noscript else _ANCHORS

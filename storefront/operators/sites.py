@@ -150,26 +150,23 @@ def site_contacts(
 
     site = F.col(website)
     no_site = F.concat(F.lit("no site "), F.xxhash64(*key).cast("string"))
-    keyed = rows.drop(*fields).withColumns(
-        {
-            "_key": F.coalesce(url_key(site), no_site),
-            "_origin": F.coalesce(url_origin(site), no_site),
-        }
+    found = (
+        rows.drop(*fields)
+        .withColumn("_key", F.coalesce(url_key(site), no_site))
+        .join(found_at("_home_key", "home"), F.col("_key") == F.col("_home_key"), "left")
     )
-    home = found_at("_home_key", "home")
-    found = keyed.join(home, F.col("_key") == F.col("_home_key"), "left").join(
-        found_at("_origin", "contact"), "_origin", "left"
-    )
-    was_read = F.col("_home_key").isNotNull()
-    chosen = {
-        f: F.coalesce(
-            F.when(was_read, F.coalesce(F.col(f"_home_{f}"), F.col(f"_contact_{f}"))), F.lit("")
+    if paths:
+        found = found.withColumn("_origin", F.coalesce(url_origin(site), no_site)).join(
+            found_at("_origin", "contact"), "_origin", "left"
         )
-        for f in fields
-    }
+    was_read = F.col("_home_key").isNotNull()
+
+    def chosen(field: str) -> Column:
+        sources = [F.col(f"_home_{field}"), *([F.col(f"_contact_{field}")] if paths else [])]
+        return F.coalesce(F.when(was_read, F.coalesce(*sources)), F.lit("")).alias(field)
+
     return found.select(
-        *(c for c in rows.columns if c not in fields),
-        *(value.alias(f) for f, value in chosen.items()),
+        *(c for c in rows.columns if c not in fields), *(chosen(f) for f in fields)
     )
 
 

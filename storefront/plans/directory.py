@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storefront.functions.markup import title_text
+from storefront.functions.text import utrim
+from storefront.functions.urls import url_host, url_href
 from storefront.operators.pages import Networks
 from storefront.operators.rows import dedup, limit_page_quota, limit_rows
 from storefront.operators.rules import LISTING_RULES, Rule, listing_fields
@@ -106,3 +109,32 @@ def build_directory_batch(
     queries = city_queries(distinct_cities(cities), template)
     rows = build_directory(listings, pages, **options)
     return queries.join(rows, F.col("city_ord") == F.col("query_ord")).drop("query_ord")
+
+
+def directory_of_pages(
+    pages: DataFrame,
+    domains: Sequence[str] = LISTED_DOMAINS,
+    paths: Sequence[str] = (),
+    networks: Networks = NETWORKS,
+    match: str = "substring",
+    suffixes: Sequence[str] = FALSE_EMAIL_SUFFIXES,
+    parts: Sequence[str] = FALSE_EMAIL_PARTS,
+) -> DataFrame:
+    """A directory made from the pages alone: ``(host, page_id, nine business fields)``.
+
+    A page is a business of its host, named by its title, with its own URL as
+    website; it needs no listing capture.
+    """
+    named = pages.select(
+        url_host(F.col("url")).alias("host"),
+        "page_id",
+        utrim(title_text(F.col("html"))).alias("name"),
+        url_href(F.col("url")).alias("website"),
+        F.lit("").alias("phone"),
+        F.lit("").alias("address"),
+    )
+    kept = blank_listed(dedup(named, ["host"], ["page_id"]), "website", domains)
+    full = site_contacts(
+        kept, pages, ["page_id"], "website", paths, networks, match, suffixes, parts
+    )
+    return full.select("host", "page_id", *BUSINESS_FIELDS)
