@@ -43,6 +43,7 @@ from storefront.operators.rules import (
 )
 from storefront.plans import directory
 from storefront.sinks import export
+from storefront.sources.captures import spread
 from storefront.sources.cities import city_lists, city_queries
 
 # Lists that hit the driver's data.
@@ -71,8 +72,13 @@ TEMPLATE = "gym in [city] ([City])"
 LIMIT = 12
 
 
+# Tables with long texts, which are worth a shuffle when they come as one file.
+_TEXT_TABLES = ("pages", "documents")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in _TEXT_TABLES else table
 
 
 def _lang(url: Column) -> Column:
@@ -109,17 +115,16 @@ def sheet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phone_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lines of documents with a run of phone characters."""
-    line = F.col("line")
-    return (
-        _lines(_table(spark, sf_dir, "documents"), "\n")
-        .select(
-            "doc_id",
-            "pos",
-            is_phone(utrim(phone_run(line))).alias("is_phone"),
-            phone_tail(utrim(F.concat(F.lit("Open ·  "), phone_run(line)))).alias("tail"),
-            phone_run(line).alias("run"),
-        )
-        .where(F.col("run") != "")
+    found = _lines(_table(spark, sf_dir, "documents"), "\n").select(
+        "doc_id", "pos", phone_run(F.col("line")).alias("run")
+    )
+    run = F.col("run")
+    return found.where(run != "").select(
+        "doc_id",
+        "pos",
+        is_phone(run).alias("is_phone"),
+        phone_tail(F.concat(F.lit("Open ·  "), run)).alias("tail"),
+        "run",
     )
 
 

@@ -35,9 +35,7 @@ _REPLACEMENT = "\ufffd"
 def _code_point(number: Column) -> Column:
     """One character from its code point, by the rules for numeric references."""
     as_utf32 = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    windows = F.array(
-        *(F.lit(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(0x80, 0xA0))
-    )
+    windows = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
     invalid = (
         number.isNull()
         | (number == 0)
@@ -46,7 +44,7 @@ def _code_point(number: Column) -> Column:
     )
     return (
         F.when(invalid, _REPLACEMENT)
-        .when(number.between(0x80, 0x9F), F.get(windows, (number - 0x80).cast("int")))
+        .when(number.between(0x80, 0x9F), F.substr(F.lit(windows), (number - 0x7F).cast("int"), F.lit(1)))
         .otherwise(as_utf32)
     )
 

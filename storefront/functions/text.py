@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from storefront.params import BLANK_SHEET, SHEET_NAME_LENGTH, WHITESPACE, WHITESPACE_CLASS
 
 _S = f"[{WHITESPACE_CLASS}]"
-_PHONE = rf"[0-9{WHITESPACE_CLASS}\-+()]"
-_MARKS = r"[\x{2066}\x{2069}]"
+_PHONE_ASCII = "0123456789+()-" + "".join(c for c in WHITESPACE if c.isascii())
+_WIDE_SPACE = "".join(c for c in WHITESPACE if not c.isascii())
+# A digit, white space or one of "- + ( )". Most characters of a text are letters;
+# a listed set is one table look-up, so they are ruled out by it before the ranges.
+_PHONE = rf"[[^{ascii_letters}]&&[0-9{WHITESPACE_CLASS}\-+()]]"
+_NOT_PHONE_ASCII = "".join(rf"\x{i:02X}" for i in range(128) if chr(i) not in _PHONE_ASCII)
+_MARKS = "\u2066\u2069"
 
 
 def utrim(c: Column) -> Column:
@@ -50,7 +57,8 @@ def sheet_name(city: Column) -> Column:
 
 def phone_clean(c: Column) -> Column:
     """Keep digits, ``+ ( ) -`` and white space."""
-    return utrim(F.regexp_replace(c, rf"[^0-9+(){WHITESPACE_CLASS}\-]", ""))
+    other = rf"(?:[{_NOT_PHONE_ASCII}]++|(?![{_WIDE_SPACE}])[^\x00-\x7F])+"
+    return utrim(F.regexp_replace(c, other, ""))
 
 
 def is_phone(c: Column) -> Column:
@@ -75,7 +83,8 @@ def address_clean(c: Column) -> Column:
 
 
 def strip_marks(c: Column) -> Column:
-    return F.regexp_replace(c, _MARKS, "")
+    """Drop the direction isolate marks."""
+    return F.translate(c, _MARKS, "")
 
 
 def _is_opening_state(c: Column) -> Column:

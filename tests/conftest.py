@@ -1,0 +1,42 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[8]")
+        .appName("storefront tests")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.driver.memory", "6g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def evaluate(spark):
+    """Values of ``column(c)`` for a list of texts, in order."""
+
+    def run(values, column):
+        from pyspark.sql import functions as F
+
+        rows = [(i, v) for i, v in enumerate(values)]
+        df = spark.createDataFrame(rows, "i int, c string").repartition(3)
+        return [r.out for r in df.select("i", column(F.col("c")).alias("out")).orderBy("i").collect()]
+
+    return run
