@@ -250,7 +250,7 @@ def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = html_nodes(F.col("html"), rules_interest(PAGE_RULES))
     pages = _table(spark, sf_dir, "pages").select("page_id", nodes.alias("_nodes"))
     found = pages.select(
-        "page_id", candidate_array(F.col("_nodes"), PAGE_RULES, F.lit(0)).alias("_found")
+        "page_id", candidate_array("_nodes", PAGE_RULES, F.lit(0)).alias("_found")
     )
     fields = ("name", "note", "link")
     return found.select("page_id", *(pick_first(F.col("_found"), f).alias(f) for f in fields))

@@ -87,7 +87,7 @@ def listing_cards(
     kept = pages_in_result(pages, by, page, sels)
     parsed = kept.select(*by, page, "html", html_nodes(F.col("html"), interest_of(sels)).alias("_nodes"))
 
-    def chosen(nodes: Column) -> Column:
+    def chosen(nodes: str) -> Column:
         case = None
         for pri, sel in enumerate(sels, start=1):
             cards = F.transform(
@@ -97,7 +97,7 @@ def listing_cards(
             case = cards if case is None else F.coalesce(_unless_empty(case), cards)
         return case
 
-    cards = parsed.select(*by, page, "html", F.posexplode(chosen(F.col("_nodes"))).alias("idx", "_card"))
+    cards = parsed.select(*by, page, "html", F.posexplode(chosen("_nodes")).alias("idx", "_card"))
     size = F.col("_card.end") - F.col("_card.beg")
     return cards.select(
         *by,

@@ -14,8 +14,6 @@ import re
 import sys
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import and_, or_
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -262,33 +260,44 @@ def node_attr(node: Column, name: str) -> Column:
     return F.try_element_at(node["attrs"], F.lit(name))
 
 
-_ATTR_TESTS = {
-    "has": lambda have, want: have.isNotNull(),
-    "=": lambda have, want: have == want,
-    "^=": lambda have, want: have.startswith(want),
-    "*=": lambda have, want: have.contains(want),
-}
+def inside(node: Column, ancestor: Column) -> Column:
+    return (node["node"] > ancestor["node"]) & (node["node"] <= ancestor["last"])
 
 
-def node_matches(sel: Sel, node: Column, nodes: Column) -> Column:
-    """Whether a node is what ``sel`` describes; null counts as no."""
-    tests = [] if sel.tag is None else [node["tag"] == sel.tag]
-    tests += [F.array_contains(node["cls"], c) for c in sel.classes]
-    tests += [~F.array_contains(node["cls"], c) for c in sel.without]
-    tests += [_ATTR_TESTS[op](node_attr(node, name), want) for name, op, want in sel.attrs]
-    if sel.within is not None:
-        outer = sel.within
-        tests.append(F.exists(nodes, lambda a: inside(node, a) & node_matches(outer, a, nodes)))
-    return reduce(and_, tests)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", r"\\").replace("'", r"\'") + "'"
 
 
-def inside(node: Column, ancestor: Column) -> Column:
-    return (node["node"] > ancestor["node"]) & (node["node"] <= ancestor["last"])
+def _attr_test(node: str, name: str, op: str, want: str) -> str:
+    have = f"try_element_at({node}.attrs, {_quoted(name)})"
+    return {
+        "has": f"{have} IS NOT NULL",
+        "=": f"{have} = {_quoted(want)}",
+        "^=": f"startswith({have}, {_quoted(want)})",
+        "*=": f"contains({have}, {_quoted(want)})",
+    }[op]
 
 
-def select_nodes(nodes: Column, sels: Sequence[Sel]) -> Column:
-    """Nodes that match any of the descriptions, in document order."""
+def _predicate(sel: Sel, node: str, nodes: str) -> str:
+    """SQL test whether a node is what ``sel`` describes; null counts as no."""
+    tests = [] if sel.tag is None else [f"{node}.tag = {_quoted(sel.tag)}"]
+    tests += [f"array_contains({node}.cls, {_quoted(c)})" for c in sel.classes]
+    tests += [f"NOT array_contains({node}.cls, {_quoted(c)})" for c in sel.without]
+    tests += [_attr_test(node, *test) for test in sel.attrs]
+    if sel.within is not None:
+        outer = f"{node}_"
+        tests.append(
+            f"exists({nodes}, {outer} -> {node}.node > {outer}.node "
+            f"AND {node}.node <= {outer}.last AND {_predicate(sel.within, outer, nodes)})"
+        )
+    return " AND ".join(tests)
 
-    return F.filter(
-        nodes, lambda node: reduce(or_, (node_matches(sel, node, nodes) for sel in sels))
-    )
+
+def select_nodes(nodes: str, sels: Sequence[Sel]) -> Column:
+    """Nodes of the column ``nodes`` that match any of the descriptions, in document order.
+
+    One SQL expression per call: a rule table compares many fields, and building
+    each comparison as a Column would cost far more than parsing the text.
+    """
+    either = " OR ".join(f"({_predicate(sel, 'n', nodes)})" for sel in sels)
+    return F.expr(f"filter({nodes}, n -> {either})")

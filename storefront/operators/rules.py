@@ -212,7 +212,7 @@ def rules_interest(rules: Sequence[Rule]) -> Interest:
     return interest
 
 
-def _hits(rule: Rule, nodes: Column, position: Column) -> Column:
+def _hits(rule: Rule, nodes: str, position: Column) -> Column:
     matching = select_nodes(nodes, rule.sels)
     if rule.take == "each":
         return matching
@@ -229,8 +229,9 @@ def _hits(rule: Rule, nodes: Column, position: Column) -> Column:
     raise ValueError(f"unknown take {rule.take!r}")
 
 
-def candidate_array(nodes: Column, rules: Sequence[Rule], position: Column) -> Column:
-    """``ARRAY<STRUCT<field, pri, pos, value>>`` of all rules on one document."""
+def candidate_array(nodes: str, rules: Sequence[Rule], position: Column) -> Column:
+    """``ARRAY<STRUCT<field, pri, pos, value>>`` of all rules on the nodes of one document."""
+    column = F.col(nodes)
 
     def found(rule: Rule) -> Column:
         return F.transform(
@@ -239,7 +240,7 @@ def candidate_array(nodes: Column, rules: Sequence[Rule], position: Column) -> C
                 F.lit(rule.field).alias("field"),
                 F.lit(rule.pri).alias("pri"),
                 node["node"].alias("pos"),
-                rule.value(node, nodes).alias("value"),
+                rule.value(node, column).alias("value"),
             ),
         )
 
@@ -268,7 +269,7 @@ def field_candidates(
 ) -> DataFrame:
     """Candidate rows ``(*by, field, pri, pos, value)`` of every page."""
     nodes = pages.select(*by, html_nodes(F.col(html), rules_interest(rules)).alias("_nodes"))
-    found = candidate_array(F.col("_nodes"), rules, F.lit(0))
+    found = candidate_array("_nodes", rules, F.lit(0))
     return nodes.select(*by, F.inline(found))
 
 
@@ -296,7 +297,7 @@ def listing_fields(
     )
     found = F.concat(
         *(
-            candidate_array(F.col(f"_{scope}"), scoped, F.col("_idx"))
+            candidate_array(f"_{scope}", scoped, F.col("_idx"))
             for scope, scoped in scopes.items()
             if scoped
         )
