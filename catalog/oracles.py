@@ -131,17 +131,20 @@ def _address_test(c: str) -> str:
 
 
 _CUSTOMERS = """
-customers AS (SELECT *, 'NATION_' || c_nationkey AS city FROM customer WHERE c_nationkey <> 7)"""
+customers AS (SELECT *, 'NATION_' || c_nationkey AS city FROM customer),
+cities AS (
+  SELECT n_nationkey AS city_ord, n_name AS name FROM nation
+  UNION ALL SELECT r_regionkey + 1000, r_name FROM region)"""
 
 _STATUS = f"""
 {_CUSTOMERS},
 status AS (
-  SELECT n_nationkey AS city_ord, n_name AS city,
+  SELECT city_ord, name AS city,
          count(c_custkey) AS n_raw,
          count(DISTINCT lower(trim(c_mktsegment))) AS n_kept,
          count(c_custkey) - count(DISTINCT lower(trim(c_mktsegment))) AS n_removed,
          count(c_custkey) = 0 AS is_empty
-  FROM nation LEFT JOIN customers ON n_name = city GROUP BY ALL)"""
+  FROM cities LEFT JOIN customers ON name = city GROUP BY ALL)"""
 
 _BUSINESSES = f"""
 {_CUSTOMERS},
@@ -485,13 +488,14 @@ FROM placed JOIN reading USING (c_nationkey, page_no)
 WHERE c_acctbal > 5000 AND place < quota""",
     "city_order": f"""
 WITH {_CUSTOMERS}
-SELECT n_nationkey AS city_ord, n_name AS city, c_custkey, c_name
-FROM nation LEFT JOIN customers ON n_name = city""",
+SELECT city_ord, name AS city, c_custkey, c_name
+FROM cities LEFT JOIN customers ON name = city""",
     "sheet_manifest": f"""
 WITH {_CUSTOMERS}
-SELECT n_nationkey AS city_ord, n_name AS city, upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS sheet,
+SELECT city_ord, name AS city, array_to_string(list_transform(string_split(name, ' '),
+         lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS sheet,
        count(c_custkey) AS n, false AS clash
-FROM nation LEFT JOIN customers ON n_name = city GROUP BY ALL""",
+FROM cities LEFT JOIN customers ON name = city GROUP BY ALL""",
     "run_status": f"WITH {_STATUS} SELECT * FROM status",
     "batch_totals": f"""
 WITH {_STATUS}

@@ -38,8 +38,14 @@ def raw_element(names: str, group: int = 1) -> str:
     )
 
 
+# Elements whose content is text as it stands, tags included; group 3 is that content.
+_PLAIN_ELEMENT = (
+    rf"(title|textarea|iframe|xmp|noframes|noembed){NAME_END}{ATTRIBUTES}{CLOSE}"
+    rf"(.*?)(?=</\2{NAME_END}|{END})"
+)
 _NOT_TEXT = (
-    rf"(?is)<(?:{COMMENT}|{raw_element('script|style|noscript')}|{BOGUS_COMMENT}|{ANY_TAG})"
+    rf"(?is)<(?:{COMMENT}|{raw_element('script|style|noscript')}|{_PLAIN_ELEMENT}"
+    rf"|{BOGUS_COMMENT}|{ANY_TAG})"
 )
 
 
@@ -64,23 +70,22 @@ def _anchor_pattern(raw: str) -> str:
 _RAW_TEXT = "script|style|title|textarea|iframe|xmp|noframes|noembed"
 _ANCHORS = _anchor_pattern(_RAW_TEXT)
 _ANCHORS_OUTSIDE_NOSCRIPT = _anchor_pattern(_RAW_TEXT + "|noscript")
-# Group 1 is a whole start tag, blank for any other token.
+# Group 1 is a start tag without its "<", blank for any other token.
 _START_TAGS = (
-    rf"(?is)(?=(<[a-z]{ATTRIBUTES}{CLOSE})|)"
-    rf"<(?:{COMMENT}|{raw_element(_RAW_TEXT, group=2)}|{BOGUS_COMMENT}|{ANY_TAG})"
+    rf"(?is)<(?:{COMMENT}|{BOGUS_COMMENT}|/[a-z]{ATTRIBUTES}{CLOSE}"
+    rf"|(?=([a-z]{ATTRIBUTES}{CLOSE}))(?:{raw_element(_RAW_TEXT, group=2)}|[a-z]{ATTRIBUTES}{CLOSE}))"
 )
-
 _TITLE = rf"(?is)<title{NAME_END}{ATTRIBUTES}{CLOSE}(.*?)(?:</title{NAME_END}|{END})"
 
 
 def start_tags(html: Column) -> Column:
-    """``ARRAY<STRING>`` of the start tags as written, in document order."""
+    """``ARRAY<STRING>`` of the start tags, less their ``<``, in document order."""
     return F.array_remove(F.regexp_extract_all(html, F.lit(_START_TAGS), F.lit(1)), "")
 
 
 def tag_attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a start tag, blank if it has none, null if absent."""
-    attribute = F.regexp_extract(tag, rf"(?is)^<[a-z][^\t\n\f\r />]*+{_attribute(name)}", 1)
+    """Value of an attribute of one of ``start_tags``, blank if it has none, null if absent."""
+    attribute = F.regexp_extract(tag, rf"(?is)^[a-z][^\t\n\f\r />]*+{_attribute(name)}", 1)
     value = F.regexp_replace(attribute, _value_of(name), "$1$2$3")
     return F.when(attribute != "", decode_entities(value, in_attribute=True))
 
@@ -94,7 +99,7 @@ def visible_text(
     with nothing, so ``<td>a@b.com</td><td>Tel</td>`` reads ``a@b.comTel``.
     """
     separator = sep.replace("\\", r"\\").replace("$", r"\$")
-    return decode_entities(F.regexp_replace(html, _NOT_TEXT, separator), names=names)
+    return decode_entities(F.regexp_replace(html, _NOT_TEXT, separator + "$3"), names=names)
 
 
 def title_text(html: Column) -> Column:

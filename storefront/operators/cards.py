@@ -31,7 +31,7 @@ def has_card(html: Column, sels: Sequence[Sel] = CARD_SELS) -> Column:
                 raise ValueError("a card is described by tag, classes and attributes only")
             test = F.lit(True)
             if sel.tag:
-                test = test & tag.rlike(rf"^<(?i:{sel.tag})(?=[\t\n\f\r />])")
+                test = test & tag.rlike(rf"^(?i:{sel.tag})(?=[\t\n\f\r />])")
             for cls in sel.classes:
                 words = F.split(F.coalesce(tag_attribute(tag, "class"), F.lit("")), r"[\t\n\f\r ]+")
                 test = test & F.array_contains(words, cls)
@@ -78,14 +78,15 @@ def listing_cards(
     by: Sequence[str] = ("query_ord",),
     page: str = "page_no",
     sels: Sequence[Sel] = CARD_SELS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(*by, page, idx, pri, card_html)``: the cards of each result in page order.
+    """``(*by, page, idx, pri, *keep, card_html)``: the cards of each result in page order.
 
     Per page the first description with any hit counts (``pri``, from 1), and
     ``idx`` numbers its cards from 0.
     """
     kept = pages_in_result(pages, by, page, sels)
-    parsed = kept.select(*by, page, "html", html_nodes(F.col("html"), interest_of(sels)).alias("_nodes"))
+    parsed = kept.select(*by, page, *keep, "html", html_nodes(F.col("html"), interest_of(sels)).alias("_nodes"))
 
     def chosen(nodes: str) -> Column:
         case = None
@@ -97,17 +98,32 @@ def listing_cards(
             case = cards if case is None else F.coalesce(_unless_empty(case), cards)
         return case
 
-    cards = parsed.select(*by, page, "html", F.posexplode(chosen("_nodes")).alias("idx", "_card"))
+    cards = parsed.select(*by, page, *keep, "html", F.posexplode(chosen("_nodes")).alias("idx", "_card"))
     size = F.col("_card.end") - F.col("_card.beg")
     return cards.select(
         *by,
         page,
         "idx",
         F.col("_card.pri").alias("pri"),
+        *keep,
         F.substr("html", F.col("_card.beg") + 1, size).alias("card_html"),
     )
 
 
+def listings_of(result_pages: DataFrame, panels: DataFrame) -> DataFrame:
+    """The ``listings`` table from captures of result pages and of detail panels.
+
+    ``result_pages`` holds ``query_ord, page_no, url, html`` and ``panels`` holds
+    ``query_ord, page_no, idx, panel_html``. A card without a panel stays. The
+    key of a card is unique, so no key is hot.
+    """
+    keys = ["query_ord", "page_no", "idx"]
+    cards = listing_cards(result_pages, keep=["url"])
+    return cards.join(panels.select(*keys, "panel_html"), keys, "left").select(
+        *keys, "url", "card_html", "panel_html"
+    )
+
+
 def _span(pri: int) -> Callable[[Column], Column]:
     return lambda n: F.struct(
         F.lit(pri).alias("pri"), n["beg"].alias("beg"), n["end"].alias("end")

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from storefront.functions.text import name_key
 from storefront.params import check_limit
 
+# Keeps the folded pages of a group below 501,000, a few dozen MB at the very worst.
+PAGE_QUOTA_MAX = 1000
+
 
 def dedup(
     rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "name"
@@ -71,9 +74,12 @@ def limit_page_quota(
     are hence used in order, one card or more each, and never more than
     ``limit - p`` of them. So the pages that can matter are at most
     ``limit * (limit + 1) / 2`` per group, whatever the group holds; only their
-    card positions are folded, and the cards themselves move once.
+    card positions are folded, and the cards themselves move once. The bound
+    rests on the limit, so that has a bound too (``PAGE_QUOTA_MAX``).
     """
     limit = check_limit(limit)
+    if limit > PAGE_QUOTA_MAX:
+        raise ValueError(f"a page quota is at most {PAGE_QUOTA_MAX}; use limit_rows beyond it")
     on_page = Window.partitionBy(*by, page).orderBy(idx)
     looked_at = (
         cards.withColumn("_place", F.row_number().over(on_page))

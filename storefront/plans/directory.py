@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from storefront.functions.markup import title_text
 from storefront.functions.text import utrim
 from storefront.functions.urls import url_host, url_href
+from storefront.materialize import materialize
 from storefront.operators.pages import Networks
 from storefront.operators.rows import dedup, limit_page_quota, limit_rows
 from storefront.operators.rules import LISTING_RULES, Rule, listing_fields
@@ -31,20 +32,6 @@ from storefront.params import (
 from storefront.sources.cities import city_queries, distinct_cities
 
 
-
-
-def materialize(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the cluster's checkpoint folder, if one is set.
-
-    For a narrow table that was costly to compute and is read more than once:
-    nothing before it runs again, also not after the loss of an executor.
-    """
-    spark = rows.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        return rows
-    return rows.checkpoint(eager=True)
-
-
 def build_directory(
     listings: DataFrame,
     pages: DataFrame,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from storefront.functions.text import sheet_name, utf16_length
+from storefront.materialize import materialize
 from storefront.operators.joins import spread_join
 from storefront.params import (
     BLANK_NAME,
@@ -138,11 +139,18 @@ def write_table(
     order: Sequence[str],
     fmt: str = "parquet",
     mode: str = "errorifexists",
-) -> None:
-    """One table, rows in the stated order over the files of ``path``."""
-    table = export_rows(rows.orderBy(*order))
-    writer = table.write.format(fmt).mode(mode)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+) -> bool:
+    """One table, rows in the stated order over the files of ``path``.
+
+    Without rows nothing is written; the result tells. The rows are looked at
+    more than once (any at all, range bounds, output), so they are materialized
+    first where the session has a checkpoint folder.
+    """
+    rows = materialize(rows)
+    if rows.isEmpty():
+        return False
+    _save(export_rows(rows.orderBy(*order)).write.mode(mode), path, fmt)
+    return True
 
 
 def write_batch(
@@ -161,11 +169,16 @@ def write_batch(
     directory and shows in the manifest only.
     """
     keys = [c for c in order if c not in ("city_ord", "city")]
+    rows = materialize(rows)
     placed = rows.withColumn("sheet", sheet_name(F.col("city")))
     spread = placed.hint("rebalance", F.col("city_ord")).sortWithinPartitions("city_ord", *keys)
     table = export_rows(spread, ["city_ord", "sheet", *keys])
-    writer = table.write.partitionBy("city_ord", "sheet").format(fmt).mode(mode)
-    (writer.option("header", True) if fmt == "csv" else writer).save(f"{path}/tables")
+    _save(table.write.partitionBy("city_ord", "sheet").mode(mode), f"{path}/tables", fmt)
     manifest = sheet_manifest(cities, rows.select("city")).orderBy("city_ord")
-    writer = manifest.write.format(fmt).mode(mode)
-    (writer.option("header", True) if fmt == "csv" else writer).save(f"{path}/manifest")
+    _save(manifest.write.mode(mode), f"{path}/manifest", fmt)
+
+
+def _save(writer: DataFrameWriter, path: str, fmt: str) -> None:
+    if fmt == "csv":
+        writer = writer.option("header", True)
+    writer.format(fmt).save(path)

@@ -83,7 +83,9 @@ def test_city_order(spark):
 def test_single_table_files(spark, tmp_path):
     rows = _rows(spark, [(0, "A", i, {"name": f"n{i:02d}"}) for i in range(30)])
     path = str(tmp_path / "one")
-    export.write_table(rows, path, ["ord"], fmt="csv")
+    assert export.write_table(rows, path, ["ord"], fmt="csv") is True
+    assert export.write_table(rows.limit(0), str(tmp_path / "none"), ["ord"]) is False
+    assert not (tmp_path / "none").exists()
     back = spark.read.csv(path, header=True)
     assert back.columns[0] == "Name" and back.columns[-1] == "LinkedIn"
     assert [r.Name for r in back.collect()] == [f"n{i:02d}" for i in range(30)]

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storefront.operators import nodes as node_ops
-from storefront.operators.cards import has_card, listing_cards, pages_in_result
+from storefront.operators.cards import has_card, listing_cards, listings_of, pages_in_result
 from storefront.operators.nodes import Interest, Sel, parse_nodes
 from storefront.operators.rules import LISTING_RULES, listing_fields, pick_first_rows, tel_value
 
@@ -201,6 +201,16 @@ def test_result_ends_at_its_first_page_without_cards(spark):
     assert kept == [(0, 0), (2, 0), (2, 1)]
 
 
+def test_listings_from_pages_and_panels(spark):
+    pages = _pages(spark, [(0, 0, '<p class="VkpGBb">a</p><p class="VkpGBb">b</p>'), (0, 1, "<p>end</p>")])
+    panels = spark.createDataFrame([(0, 0, 1, "<i>panel b</i>")], "query_ord int, page_no int, idx int, panel_html string")
+    rows = sorted(tuple(r) for r in listings_of(pages, panels).collect())
+    assert rows == [
+        (0, 0, 0, URL, '<p class="VkpGBb">a</p>', None),
+        (0, 0, 1, URL, '<p class="VkpGBb">b</p>', "<i>panel b</i>"),
+    ]
+
+
 def test_flag_agrees_with_the_parser(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for sels in ((Sel("a", attrs=(("href", "*=", "è"),)),), (Sel("div", classes=("ad",)),), (Sel("h4"),)):

@@ -28,6 +28,8 @@ def test_visible_text(evaluate):
         "a<!-- never closed": "a",
         "a<p class=\"never closed": "a",
         "<scripty>a</scripty>": "a",
+        "<title lang=x>a <b> &amp; c</title><p>d</p>": "a <b> & cd",
+        "<textarea><!-- x --></textarea>y<title>open": "<!-- x -->yopen",
         "<SCRIPT x=\"</script>\">no</SCRIPT >yes": "yes",
         None: None,
         "": "",
@@ -39,6 +41,7 @@ def test_visible_text_with_a_separator(evaluate):
     page = "<td>a@b.com</td><td>Tel</td>"
     assert evaluate([page], lambda c: markup.visible_text(c, " ")) == [" a@b.com  Tel "]
     assert evaluate(["a<br>b"], lambda c: markup.visible_text(c, "$1\\")) == ["a$1\\b"]
+    assert evaluate(["<title>a@b.com</title>Tel"], lambda c: markup.visible_text(c, " ")) == [" a@b.com Tel"]
 
 
 def test_entities(evaluate):
@@ -70,7 +73,7 @@ def test_anchor_hrefs(evaluate):
 
 
 def test_tag_attribute(evaluate):
-    tags = ['<a class="x y" id=1>', "<a CLASS=z>", "<a class>", "<a data-class=q>", "<a title='class=\"n\"'>"]
+    tags = ['a class="x y" id=1>', "a CLASS=z>", "a class>", "a data-class=q>", "a title='class=\"n\"'>"]
     assert evaluate(tags, lambda c: markup.tag_attribute(c, "class")) == ["x y", "z", "", None, None]
 
 

@@ -110,6 +110,11 @@ def test_quota_equals_reading_card_by_card(spark, pages, limit, parts):
     assert _quota(_cards(spark, pages, parts), limit) == _read_pages(pages, limit)
 
 
+def test_quota_has_a_bound(spark):
+    with pytest.raises(ValueError):
+        limit_page_quota(_cards(spark, [[[True]]]), ["city"], "page_no", "idx", 1001, F.col("ok"))
+
+
 def test_quota_on_a_city_with_most_of_the_rows(spark):
     cards = spark.range(200_000).selectExpr(
         "if(id % 3 = 0, id % 50 + 1, 0) city", "cast(id div 20 as int) page_no", "id idx", "id % 7 = 0 ok"
