@@ -153,10 +153,11 @@ def addresses_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def address_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F5, F6 on every sentence of the whole text."""
+    """F5, F6 on every sentence of the whole text; both shapes have a comma."""
     text = utrim(F.col("line"))
     return (
         _lines(_table(spark, sf_dir, "documents"), r"[.\n]")
+        .where(F.col("line").contains(","))
         .select(
             "doc_id",
             "pos",

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from storefront.functions.binding import let
 from storefront.functions.markup import start_tags, tag_attribute
-from storefront.operators.joins import spread_join
 from storefront.operators.nodes import Sel, html_nodes, interest_of, select_nodes
 
 # What a listing card looks like, the most reliable first.
@@ -59,15 +58,20 @@ def pages_in_result(
     """The pages before the first one without a card; later captures are dropped.
 
     The end of each result is found from the key columns and a flag, combined on
-    the map side, and is one small row per result that has such a page.
+    the map side, and is one small row per result that has such a page. Within
+    Spark's broadcast size the pages are not shuffled for it. Beyond that, the
+    small table is repartitioned by another column first: the join then has a
+    plain shuffle on both sides, between which adaptive execution splits a
+    result that holds a great share of all pages.
     """
     ends = (
         pages.where(~has_card(F.col("html"), sels))
         .groupBy(*by)
         .agg(F.min(page).alias("_end"))
+        .repartition("_end")
     )
     return (
-        spread_join(pages, ends, list(by), spread=[page])
+        pages.join(ends, list(by), "left")
         .where(F.col("_end").isNull() | (F.col(page) < F.col("_end")))
         .select(*pages.columns)
     )

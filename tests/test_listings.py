@@ -201,6 +201,42 @@ def test_result_ends_at_its_first_page_without_cards(spark):
     assert kept == [(0, 0), (2, 0), (2, 1)]
 
 
+def test_a_result_with_most_pages_is_split(spark):
+    card = '<div class="VkpGBb">a</div>'
+    pages = spark.range(4_000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") % 40 + 1).otherwise(0).cast("int").alias("query_ord"),
+        F.col("id").cast("int").alias("page_no"),
+        F.lit(URL).alias("url"),
+        F.when(F.col("id").isin(3_001, 3_003), F.sha2(F.col("id").cast("string"), 512))
+        .otherwise(F.concat(F.lit(card), F.sha2(F.col("id").cast("string"), 512)))
+        .alias("html"),
+    ).repartition(16)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    saved = {n: spark.conf.get(n, None) for n in conf}
+    for n, v in conf.items():
+        spark.conf.set(n, v)
+    try:
+        kept = pages_in_result(pages)
+        rows = kept.collect()
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in saved.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    ends = {0: 3_001, 3_003 % 40 + 1: 3_003}
+    expected = sum(
+        1 for i in range(4_000) if i < ends.get(i % 40 + 1 if i % 3 == 0 else 0, 10_000)
+    )
+    assert len(rows) == expected
+    assert "skew=true" in plan
+
+
 def test_listings_from_pages_and_panels(spark):
     pages = _pages(spark, [(0, 0, '<p class="VkpGBb">a</p><p class="VkpGBb">b</p>'), (0, 1, "<p>end</p>")])
     panels = spark.createDataFrame([(0, 0, 1, "<i>panel b</i>")], "query_ord int, page_no int, idx int, panel_html string")
