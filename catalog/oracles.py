@@ -427,12 +427,14 @@ FROM pages LEFT JOIN socials USING (page_id)""",
 WITH cards AS (
   SELECT {_host('url')} AS host, page_id,
          regexp_extract_all({_clean('html')}, '<a href="[^"]*">[^<]*</a>') AS l FROM pages),
-kinds AS (SELECT host, page_id, {_card_filter(0)} AS l1, {_card_filter(1)} AS l2 FROM cards),
-ends AS (SELECT host, min(page_id) AS last FROM kinds WHERE len(l1) = 0 AND len(l2) = 0 GROUP BY host),
-chosen AS (
-  SELECT host, page_id, CASE WHEN len(l1) > 0 THEN 1 ELSE 2 END AS pri,
-         CASE WHEN len(l1) > 0 THEN l1 ELSE l2 END AS l
-  FROM kinds LEFT JOIN ends USING (host) WHERE last IS NULL OR page_id < last)
+kinds AS (SELECT host, page_id, {', '.join(f'{_card_filter(i)} AS l{i}' for i in range(len(CARD_SELS)))} FROM cards),
+picked AS (
+  SELECT host, page_id,
+         CASE {' '.join(f'WHEN len(l{i}) > 0 THEN {i + 1}' for i in range(len(CARD_SELS)))} END AS pri,
+         CASE {' '.join(f'WHEN len(l{i}) > 0 THEN l{i}' for i in range(len(CARD_SELS)))} END AS l
+  FROM kinds),
+ends AS (SELECT host, min(page_id) AS last FROM picked WHERE pri IS NULL GROUP BY host),
+chosen AS (SELECT * FROM picked LEFT JOIN ends USING (host) WHERE last IS NULL OR page_id < last)
 SELECT host, page_id, CAST(unnest(range(len(l))) AS INTEGER) AS idx, pri, unnest(l) AS card_html
 FROM chosen""",
     "listing_names": f"WITH {_wide_pick()} SELECT page_id, name FROM wide WHERE name <> ''",

@@ -59,7 +59,8 @@ EMAIL_PARTS = ("mail2.", "19@")
 SITE_PATHS = ("/fr", "/de", "/es")
 CARD_SELS = (
     Sel("a", attrs=(("href", "^=", "/la"),)),
-    Sel("a", attrs=(("href", "*=", "è"),)),
+    Sel("a", attrs=(("href", "*=", "er"),)),
+    Sel("a", attrs=(("href", "*=", "e"),)),
 )
 PAGE_RULES = (
     Rule("name", 1, "page", (Sel("h1"),)),
@@ -236,7 +237,7 @@ def page_socials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each host a result, its pages in order, two kinds of anchor as cards."""
+    """Each host a result, its pages in order, three kinds of anchor as cards."""
     pages = _table(spark, sf_dir, "pages").withColumn("host", url_host(F.col("url")))
     return listing_cards(pages, ["host"], "page_id", CARD_SELS)
 
