@@ -77,6 +77,15 @@ class Interest:
     def everything(self) -> bool:
         return not (self.tags or self.classes or self.attrs)
 
+    def likely(self) -> re.Pattern:
+        """Found in the attributes of every element kept for a class or attribute name.
+
+        Tells most tags apart without reading their attributes one by one; a
+        character reference may spell anything, so it counts as likely.
+        """
+        words = sorted(self.classes | self.attrs)
+        return re.compile("|".join([*map(re.escape, words), "&"]), re.IGNORECASE)
+
 
 # Fixed values of the HTML standard: elements without an end tag, and start
 # tags that end an open element of the same kind.
@@ -131,6 +140,7 @@ def parse_nodes(page: str, interest: Interest) -> list[dict]:
     open_elements: list[tuple[str, dict | None]] = []
     count = 0
     keep_all = interest.everything
+    is_likely = interest.likely().search
     shown = interest.attrs | interest.shown
 
     def add_text(piece: str) -> None:
@@ -142,7 +152,7 @@ def parse_nodes(page: str, interest: Interest) -> list[dict]:
     def start(tag: str, source: str, at: int) -> dict | None:
         nonlocal count
         count += 1
-        if not (keep_all or tag in interest.tags) and "=" not in source and not interest.attrs:
+        if not (keep_all or tag in interest.tags or is_likely(source)):
             return None
         attrs = _attributes(source)
         classes = attrs.get("class", "").split()

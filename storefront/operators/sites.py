@@ -24,6 +24,7 @@ from storefront.params import (
     FALSE_EMAIL_SUFFIXES,
     LISTED_DOMAINS,
     NETWORKS,
+    SOCIAL_FIELDS,
 )
 
 
@@ -106,7 +107,23 @@ def site_contacts(
 
     Per field the first filled value wins: home page, then the contact pages in
     the order of ``paths``; several captures of one page count in ``page_id``
-    order. A site whose home page was not captured yields nothing.
+    order. A site whose home page was not captured yields nothing. ``key``
+    identifies a row.
+    """
+    read = pages.where(F.col("html").isNotNull())
+    found = extract_contacts(read, networks, match, suffixes, parts)
+    return look_up_contacts(rows, found, key, website, paths, [n for n, _ in networks])
+
+
+def look_up_contacts(
+    rows: DataFrame,
+    found: DataFrame,
+    key: Sequence[str],
+    website: str = "website",
+    paths: Sequence[str] = CONTACT_PATHS,
+    networks: Sequence[str] = SOCIAL_FIELDS,
+) -> DataFrame:
+    """``site_contacts`` from what ``extract_contacts`` found on the pages.
 
     The HTML is reduced to its few contact columns before anything moves. A page
     then stands for its own URL, and a contact page for its origin too; the two
@@ -115,18 +132,12 @@ def site_contacts(
     with a great share of all pages arrives as one row per task, and both joins
     meet a side that is unique on its key. Its second group column makes Spark
     shuffle that narrow result by the join key alone; only between two plain
-    shuffles can adaptive execution split a website that many rows share.
-    ``key`` identifies a row: rows without a website take their join key from
-    it, which spreads them evenly.
+    shuffles can adaptive execution split a website that many rows share. Rows
+    without a website take their join key from ``key``, which spreads them.
     """
-    fields = ["email", *(network for network, _ in networks)]
-    captured = (
-        pages.where(F.col("html").isNotNull())
-        .withColumn("_key", url_key(F.col("url")))
-        .where(F.col("_key").isNotNull())
-    )
-    values = extract_contacts(
-        captured, networks, match, suffixes, parts, keep=("_key", "page_id")
+    fields = ["email", *networks]
+    values = found.select(url_key(F.col("url")).alias("_key"), "page_id", *fields).where(
+        F.col("_key").isNotNull()
     )
     own = F.struct(
         F.lit(0).alias("pri"), F.lit(False).alias("is_origin"), F.col("_key").alias("key")
@@ -150,13 +161,13 @@ def site_contacts(
 
     site = F.col(website)
     no_site = F.concat(F.lit("no site "), F.xxhash64(*key).cast("string"))
-    found = (
+    joined = (
         rows.drop(*fields)
         .withColumn("_key", F.coalesce(url_key(site), no_site))
         .join(found_at("_home_key", "home"), F.col("_key") == F.col("_home_key"), "left")
     )
     if paths:
-        found = found.withColumn("_origin", F.coalesce(url_origin(site), no_site)).join(
+        joined = joined.withColumn("_origin", F.coalesce(url_origin(site), no_site)).join(
             found_at("_origin", "contact"), "_origin", "left"
         )
     was_read = F.col("_home_key").isNotNull()
@@ -165,7 +176,7 @@ def site_contacts(
         sources = [F.col(f"_home_{field}"), *([F.col(f"_contact_{field}")] if paths else [])]
         return F.coalesce(F.when(was_read, F.coalesce(*sources)), F.lit("")).alias(field)
 
-    return found.select(
+    return joined.select(
         *(c for c in rows.columns if c not in fields), *(chosen(f) for f in fields)
     )
 

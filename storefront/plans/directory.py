@@ -15,10 +15,15 @@ from storefront.functions.markup import title_text
 from storefront.functions.text import utrim
 from storefront.functions.urls import url_host, url_href
 from storefront.materialize import materialize
-from storefront.operators.pages import Networks
+from storefront.operators.pages import Networks, extract_contacts
 from storefront.operators.rows import dedup, limit_page_quota, limit_rows
 from storefront.operators.rules import LISTING_RULES, Rule, listing_fields
-from storefront.operators.sites import blank_listed, site_contacts, without_contacts
+from storefront.operators.sites import (
+    blank_listed,
+    look_up_contacts,
+    site_contacts,
+    without_contacts,
+)
 from storefront.params import (
     BUSINESS_FIELDS,
     CONTACT_PATHS,
@@ -110,18 +115,27 @@ def directory_of_pages(
     """A directory made from the pages alone: ``(host, page_id, nine business fields)``.
 
     A page is a business of its host, named by its title, with its own URL as
-    website; it needs no listing capture.
+    website; it needs no listing capture. Names and contacts come out of one
+    pass over the pages, whose narrow result serves as rows and as look-up.
     """
-    named = pages.select(
+    read = pages.where(F.col("html").isNotNull()).withColumn(
+        "_name", utrim(title_text(F.col("html")))
+    )
+    found = materialize(
+        extract_contacts(
+            read, networks, match, suffixes, parts, keep=("page_id", "url", "_name")
+        )
+    )
+    named = found.select(
         url_host(F.col("url")).alias("host"),
         "page_id",
-        utrim(title_text(F.col("html"))).alias("name"),
+        F.col("_name").alias("name"),
         url_href(F.col("url")).alias("website"),
         F.lit("").alias("phone"),
         F.lit("").alias("address"),
     )
     kept = blank_listed(dedup(named, ["host"], ["page_id"]), "website", domains)
-    full = site_contacts(
-        kept, pages, ["page_id"], "website", paths, networks, match, suffixes, parts
+    full = look_up_contacts(
+        kept, found, ["page_id"], "website", paths, [n for n, _ in networks]
     )
     return full.select("host", "page_id", *BUSINESS_FIELDS)
