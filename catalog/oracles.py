@@ -107,12 +107,19 @@ socials AS (
   SELECT page_id, {', '.join(f"arg_min(href, pos) FILTER (network = '{n}') AS {n}" for n, _ in NETWORKS)}
   FROM tagged GROUP BY page_id)"""
 
+# The pages with an address of their host in the text and one in a link.
 _MAILS = f"""
+contactable AS (
+  SELECT page_id, html || ' <p>sales' || page_id || '@' || host || '</p> <a href="mailto:Info@'
+                  || host || '?subject=x">mail</a>' AS html
+  FROM (SELECT page_id, html, {_host('url')} AS host FROM pages)),
+mail_hits AS (
+  SELECT page_id, list_concat(
+    regexp_extract_all({_text('html')}, '{_EMAIL}'),
+    regexp_extract_all({_clean('html')}, '<a href="mailto:([^"?]*)', 1)) AS h FROM contactable),
 mails AS (
   SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS email
-  FROM (SELECT page_id, list_distinct_ordered AS l FROM (
-    SELECT page_id, list_filter(h, lambda x, i: list_position(h, x) = i) AS list_distinct_ordered
-    FROM (SELECT page_id, regexp_extract_all({_text('html')}, '{_EMAIL}') AS h FROM pages))))"""
+  FROM (SELECT page_id, list_filter(h, lambda x, i: list_position(h, x) = i) AS l FROM mail_hits))"""
 
 
 def _lines(pattern: str, name: str = "lines") -> str:
@@ -412,7 +419,7 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 A
 FROM mails WHERE NOT {_false_email('email')}""",
     "page_first_email": f"""
 WITH {_MAILS}
-SELECT pages.page_id, arg_min(email, pos) AS email
+SELECT pages.page_id, arg_min(email, pos) FILTER (NOT {_false_email('email')}) AS email
 FROM pages LEFT JOIN mails USING (page_id) GROUP BY pages.page_id""",
     "email_filter": f"""
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, email, {_false_email('email')} AS is_false

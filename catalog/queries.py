@@ -54,7 +54,7 @@ NETWORKS = (
     ("twitter", ("/de", "/is")),
     ("linkedin", ("/un", "ción")),
 )
-EMAIL_SUFFIXES = ("@mail5.example.com", ".png")
+EMAIL_SUFFIXES = ("@mail5.example.com", ".example.org")
 EMAIL_PARTS = ("mail2.", "19@")
 SITE_PATHS = ("/fr", "/de", "/es")
 CARD_SELS = (
@@ -86,6 +86,22 @@ def _lang(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^:]*://[^/]*/([a-z]+)", 1)
 
 
+def _contactable(pages: DataFrame) -> DataFrame:
+    """The pages, each with an address in its text and another in a link of its own host."""
+    host = url_host(F.col("url"))
+    html = F.concat(
+        "html",
+        F.lit(" <p>sales"),
+        "page_id",
+        F.lit("@"),
+        host,
+        F.lit('</p> <a href="mailto:Info@'),
+        host,
+        F.lit('?subject=x">mail</a>'),
+    )
+    return pages.withColumn("html", html)
+
+
 def _lines(documents: DataFrame, pattern: str) -> DataFrame:
     return documents.select("doc_id", F.posexplode(F.split("text", pattern)).alias("pos", "line"))
 
@@ -210,13 +226,15 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E1, P9, U1 with a block list that leaves the data's addresses in."""
-    return page_ops.page_emails(_table(spark, sf_dir, "pages"), EMAIL_SUFFIXES, EMAIL_PARTS)
+    """E1, P9, U1 with a block list that leaves most of the data's addresses in."""
+    pages = _contactable(_table(spark, sf_dir, "pages"))
+    return page_ops.page_emails(pages, EMAIL_SUFFIXES, EMAIL_PARTS)
 
 
 def page_first_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2."""
-    return page_ops.page_first_email(_table(spark, sf_dir, "pages"), (), ())
+    pages = _contactable(_table(spark, sf_dir, "pages"))
+    return page_ops.page_first_email(pages, EMAIL_SUFFIXES, EMAIL_PARTS)
 
 
 def email_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +315,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def site_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Home page first, then the other languages in order."""
-    pages = _table(spark, sf_dir, "pages")
+    pages = _contactable(_table(spark, sf_dir, "pages"))
     sites = site_ops.blank_listed(_sites(pages), "website", DOMAINS)
     return site_ops.site_contacts(
         sites, _by_language(pages), ["origin"], "website", SITE_PATHS, NETWORKS, parts=()
@@ -429,7 +447,7 @@ def export_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1, P1, U3 on the flagship: the pages as a directory, ready to be written."""
-    pages = _table(spark, sf_dir, "pages")
+    pages = _contactable(_table(spark, sf_dir, "pages"))
     rows = directory.directory_of_pages(pages, DOMAINS, (), NETWORKS, parts=())
     return export.export_rows(rows, ["host", "page_id"])
 
@@ -464,7 +482,7 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def directory_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry 1: E5-E8, L2, A1, F1, F9, J1, J2 in one job."""
-    pages = _table(spark, sf_dir, "pages")
+    pages = _contactable(_table(spark, sf_dir, "pages"))
     return directory.build_directory(
         _listings(spark, sf_dir), pages, 30, domains=DOMAINS, networks=NETWORKS, parts=()
     )
