@@ -13,6 +13,10 @@ def materialize(rows: DataFrame) -> DataFrame:
     folder is the one the session names in ``spark.checkpoint.dir``; without it
     the rows are returned as they are and computed again where needed.
     """
-    if not rows.sparkSession.conf.get("spark.checkpoint.dir", None):
+    folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         return rows
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return rows.checkpoint(eager=True)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from storefront.materialize import materialize
 from storefront.params import BUSINESS_FIELDS
 from storefront.plans.directory import build_directory, build_directory_batch, directory_of_pages
 from storefront.sources.captures import LISTINGS, PAGES, read_captures
@@ -130,6 +131,15 @@ def test_result_does_not_depend_on_partitioning(spark, captures):
     assert _result(build_directory(listings.repartition(7, "idx"), pages.coalesce(1), limit=3)) == expected
 
 
+def test_materialized_rows_are_read_back(spark, captures):
+    listings, _ = captures
+    narrow = listings.select("idx", F.length("panel_html").alias("n"))
+    cut = materialize(narrow)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, narrow.collect()))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "panel_html" not in plan and "Exchange" not in plan
+
+
 def test_captures_are_read_with_a_stated_schema(spark, tmp_path, captures):
     _, pages = captures
     path = str(tmp_path / "pages")
