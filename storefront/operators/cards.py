@@ -90,7 +90,8 @@ def listing_cards(
     ``idx`` numbers its cards from 0.
     """
     kept = pages_in_result(pages, by, page, sels)
-    parsed = kept.select(*by, page, *keep, "html", html_nodes(F.col("html"), interest_of(sels)).alias("_nodes"))
+    nodes = html_nodes(F.col("html"), interest_of(sels)).alias("_nodes")
+    parsed = kept.select(*by, page, *keep, "html", nodes)
 
     def chosen(nodes: str) -> Column:
         case = None
@@ -102,7 +103,8 @@ def listing_cards(
             case = cards if case is None else F.coalesce(_unless_empty(case), cards)
         return case
 
-    cards = parsed.select(*by, page, *keep, "html", F.posexplode(chosen("_nodes")).alias("idx", "_card"))
+    found = F.posexplode(chosen("_nodes")).alias("idx", "_card")
+    cards = parsed.select(*by, page, *keep, "html", found)
     size = F.col("_card.end") - F.col("_card.beg")
     return cards.select(
         *by,

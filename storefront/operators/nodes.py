@@ -117,6 +117,7 @@ _ATTRIBUTE = re.compile(
     r"""[\t\n\f\r /]*+([^\t\n\f\r />][^\t\n\f\r />=]*+)"""
     r"""(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?:"([^"]*+)"?|'([^']*+)'?|([^\t\n\f\r >]*+)))?+"""
 )
+_WORD = re.compile(r"[^\t\n\f\r ]+")
 _ATTR_REFERENCE = re.compile(
     r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*(?:;|(?![=a-zA-Z0-9])))"
 )
@@ -155,7 +156,7 @@ def parse_nodes(page: str, interest: Interest) -> list[dict]:
         if not (keep_all or tag in interest.tags or is_likely(source)):
             return None
         attrs = _attributes(source)
-        classes = attrs.get("class", "").split()
+        classes = _WORD.findall(attrs.get("class", ""))
         if not (
             keep_all
             or tag in interest.tags

@@ -55,8 +55,9 @@ def flag_listed(rows: DataFrame, url: str, domains: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_hit", F.lit(True))
     )
+    hashable = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
     return (
-        spread_join(hosted, hits, ["_host"], spread=[url])
+        spread_join(hosted, hits, ["_host"], spread=hashable)
         .withColumn("listed", F.coalesce("_hit", F.lit(False)))
         .select(*rows.columns, "listed")
     )
