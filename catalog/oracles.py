@@ -445,6 +445,13 @@ chosen AS (SELECT * FROM picked LEFT JOIN ends USING (host) WHERE last IS NULL O
 SELECT host, page_id, CAST(unnest(range(len(l))) AS INTEGER) AS idx, pri, unnest(l) AS card_html
 FROM chosen""",
     "listing_names": f"WITH {_wide_pick()} SELECT page_id, name FROM wide WHERE name <> ''",
+    "page_nodes": """
+WITH tags AS (
+  SELECT page_id, unnest(regexp_extract_all(
+    regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<[a-z][^>]*>')) AS t FROM pages)
+SELECT page_id, regexp_extract(t, '<([a-z0-9]+)', 1) AS tag, count(*) AS n,
+       CAST(sum(len(regexp_extract_all(t, '[a-z]+="[^"]*"'))) AS BIGINT) AS n_attrs
+FROM tags GROUP BY ALL""",
     "field_candidates": f"WITH {_CANDIDATES} SELECT page_id, field, pri, value FROM found",
     "field_pick": f"WITH {_wide_pick()} SELECT page_id, name, note, link FROM wide",
     "field_pick_rows": f"WITH {_PICKED} SELECT page_id, field, value FROM picked",

@@ -31,7 +31,7 @@ from storefront.operators import pages as page_ops
 from storefront.operators import rows as row_ops
 from storefront.operators import sites as site_ops
 from storefront.operators.cards import listing_cards
-from storefront.operators.nodes import Sel, html_nodes
+from storefront.operators.nodes import Sel, html_nodes, node_rows
 from storefront.operators.rules import (
     Rule,
     candidate_array,
@@ -260,6 +260,14 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing_cards(pages, ["host"], "page_id", CARD_SELS)
 
 
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table under the rules: elements of each kind per page, and their attributes."""
+    nodes = node_rows(_table(spark, sf_dir, "pages"), ["page_id"])
+    return nodes.groupBy("page_id", "tag").agg(
+        F.count("*").alias("n"), F.sum(F.size(F.map_keys("attrs"))).alias("n_attrs")
+    )
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of the page rules."""
     pages = _table(spark, sf_dir, "pages")
@@ -527,6 +535,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_socials": page_socials,
     "listing_cards": cards,
     "listing_names": listing_names,
+    "page_nodes": page_nodes,
     "field_candidates": candidates,
     "field_pick": field_pick,
     "field_pick_rows": field_pick_rows,

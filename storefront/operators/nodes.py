@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storefront.functions.markup import (
@@ -234,6 +234,14 @@ def html_nodes(html: Column, interest: Interest = Interest()) -> Column:
     return nodes(html)
 
 
+def node_rows(
+    pages: DataFrame, by: Sequence[str], html: str = "html", interest: Interest = Interest()
+) -> DataFrame:
+    """The elements as a table ``(*by, node, last, beg, end, tag, cls, attrs, text)``."""
+    nodes = html_nodes(F.col(html), interest).alias("_nodes")
+    return pages.select(*by, nodes).select(*by, F.inline("_nodes"))
+
+
 @dataclass(frozen=True)
 class Sel:
     """What an element must be: tag, classes, attribute tests, an ancestor.

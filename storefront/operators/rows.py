@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from storefront.functions.text import name_key
 from storefront.params import check_limit
 
-# Keeps the folded pages of a group below 501,000, a few dozen MB at the very worst.
-PAGE_QUOTA_MAX = 1000
+# The folded positions of a group stay below limit**3 / 6: 21 million numbers, 84 MB,
+# if all pages of a group are laid out for the worst; thousands as result pages are.
+PAGE_QUOTA_MAX = 500
 
 
 def dedup(
@@ -71,11 +72,12 @@ def limit_page_quota(
 
     A page takes something only while more cards are wanted than lie before its
     first valid card. Pages whose first valid card has the same position *p*
-    are hence used in order, one card or more each, and never more than
-    ``limit - p`` of them. So the pages that can matter are at most
-    ``limit * (limit + 1) / 2`` per group, whatever the group holds; only their
-    card positions are folded, and the cards themselves move once. The bound
-    rests on the limit, so that has a bound too (``PAGE_QUOTA_MAX``).
+    are hence used in order, one card or more each, never more than ``limit - p``
+    of them, and at the *n*-th at most ``limit - n + 1`` cards are still wanted. So the pages
+    that can matter are at most ``limit * (limit + 1) / 2`` per group, whatever the
+    group holds; only their card positions are folded, and the cards themselves
+    move once. The bound rests on the limit, so that has a bound too
+    (``PAGE_QUOTA_MAX``).
     """
     limit = check_limit(limit)
     if limit > PAGE_QUOTA_MAX:
@@ -93,6 +95,7 @@ def limit_page_quota(
         pages.withColumn("_first", F.get("_ats", 0))
         .withColumn("_nth", F.row_number().over(same_start))
         .where((F.col("_nth") <= limit) & (F.col("_nth") <= limit - F.col("_first")))
+        .withColumn("_ats", F.filter("_ats", lambda at: at <= limit - F.col("_nth")))
     )
     page_type = cards.schema[page].dataType.simpleString()
     used_type = f"array<struct<page:{page_type},quota:int>>"

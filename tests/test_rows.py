@@ -112,7 +112,7 @@ def test_quota_equals_reading_card_by_card(spark, pages, limit, parts):
 
 def test_quota_has_a_bound(spark):
     with pytest.raises(ValueError):
-        limit_page_quota(_cards(spark, [[[True]]]), ["city"], "page_no", "idx", 1001, F.col("ok"))
+        limit_page_quota(_cards(spark, [[[True]]]), ["city"], "page_no", "idx", 501, F.col("ok"))
 
 
 def test_quota_on_a_city_with_most_of_the_rows(spark):
