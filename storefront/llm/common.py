@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,24 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a text column; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours of about ``limit`` bytes together; a longer text is alone."""
+    start = total = 0
+    for n, text in enumerate(texts):
+        if n > start and total + len(text) > limit:
+            yield start, n
+            start, total = n, 0
+        total += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    if not len(values):
+        return values, np.zeros(0, np.int64)
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], np.diff(np.append(first, len(values)))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from storefront.llm.archives import MIN_REVISIT, archive_round_trip
+from storefront.llm.decontam import find_leaks
 from storefront.llm.mixing import mix
+from storefront.llm.quality import resample
+from storefront.llm.secrets import scan_secrets
 from storefront.llm.urls import GLOB_RULES, HOST_RULES, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +21,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_secrets(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_guess")
+
+
+def op2_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op4_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_table(spark, folder, "documents"))
 
@@ -24,9 +38,22 @@ def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"))
 
 
+def op9_importance_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op10_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    rows = archive_round_trip(_table(spark, folder, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_secret_spans": op1_secret_spans,
+    "op2_benchmark_leaks": op2_benchmark_leaks,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op8_url_rules": op8_url_rules,
+    "op9_importance_resample": op9_importance_resample,
+    "op10_arc_to_warc": op10_arc_to_warc,
 }
 
 
@@ -58,4 +85,19 @@ def _url_sql() -> str:
     """
 
 
-ORACLES: dict[str, str] = {"op8_url_rules": _url_sql()}
+#: A page's id, bytes, digest, type and reference; ids, dates and versions of records are not SQL's to make.
+_ARCHIVE_SQL = f"""
+    WITH bytes AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ), kept AS (
+        SELECT payload_digest, max(page_id) AS keeper FROM bytes
+        WHERE payload_bytes >= {MIN_REVISIT} GROUP BY payload_digest
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN keeper = page_id THEN NULL ELSE keeper END AS refers_to
+    FROM bytes LEFT JOIN kept USING (payload_digest)
+"""
+
+ORACLES: dict[str, str] = {"op8_url_rules": _url_sql(), "op10_arc_to_warc": _ARCHIVE_SQL}
