@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storefront.llm.archives import MIN_REVISIT, archive_round_trip
 from storefront.llm.decontam import find_leaks
 from storefront.llm.mixing import mix
+from storefront.llm.near_dup import near_duplicates
 from storefront.llm.quality import resample
 from storefront.llm.secrets import scan_secrets
 from storefront.llm.urls import GLOB_RULES, HOST_RULES, judge_urls
@@ -30,6 +31,10 @@ def op2_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op3_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents")).drop("row_key")
+
+
 def op4_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_table(spark, folder, "documents"))
 
@@ -50,6 +55,7 @@ def op10_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_spans": op1_secret_spans,
     "op2_benchmark_leaks": op2_benchmark_leaks,
+    "op3_bbit_minhash": op3_bbit_minhash,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op8_url_rules": op8_url_rules,
     "op9_importance_resample": op9_importance_resample,
