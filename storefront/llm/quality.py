@@ -1,15 +1,18 @@
 """Importance resampling of documents towards labelled good text.
 
-Two generative models over hashed byte n-grams (and one symbol for a word that
-follows itself): the target model, fitted on labelled good documents, and the raw
-model, counted over all documents. Their log ratio, shrunk where both know little,
-is the evidence of an n-gram. A document's statistic is the sum of its clear
-evidence against the target (n-grams ``STRONG`` e-folds rarer there than in raw
-text) over the root of its length, so that a few bad words in a long text and junk
-throughout a short one both show. The number of documents to take, ``k``, is how
-many pass a bound set on labelled documents that were not used to fit; which ones
-is drawn by Gumbel top-k: log weight plus Gumbel noise, the ``k`` largest. The
-noise comes from a hash of ``doc_id``, so reruns agree.
+Generative models over hashed n-grams, for the target (labelled good documents) and
+for raw text (all documents), of two families: byte n-grams with one symbol for a
+word that follows itself, and the beginnings of words. The log ratio of the two
+models, shrunk where both know little, is the evidence of an n-gram. A document's
+statistic in a family is the sum of its clear evidence against the target (n-grams
+``strong`` e-folds rarer there than in raw text) over the root of its length, so
+that a few bad words in a long text and junk throughout a short one both show.
+Each family is scaled by a bound set on labelled documents that were not used to
+fit, one that loses few good ones; the worse family counts.
+
+How many documents are taken, ``k``, is how many pass the bound; which ones is
+drawn by Gumbel top-k: log weight plus Gumbel noise, the ``k`` largest. The noise
+comes from a hash of ``doc_id``, so reruns agree.
 
 Bounded on purpose: the labelled sample, ``max_labels`` rows in hash order. Counts,
 scores and the selection cover all documents.
@@ -34,10 +37,16 @@ from pyspark.sql import types as T
 from storefront.llm.common import chunks, cut, text_bytes
 
 GRAM = 4
+BEGIN = 5  # bytes of a word's beginning
 BITS = 18
-PIECES = 256
-MAX_LABELS = 20_000
-STRONG = 1.0
+#: First number of each family, and the end; the last number of the first is 'a word again'.
+FAMILIES = (0, (1 << BITS) + 1, (2 << BITS) + 1)
+STRONG = (1.0, 1.5)
+PIECES = 512
+STEP = -(-FAMILIES[-1] // PIECES)
+MAX_LABELS = 40_000
+#: Share of good documents that a bound may cost.
+MAX_LOSS = 0.004
 #: Divides the log weight: small against the gap between good and bad documents.
 TEMPERATURE = 0.002
 BINS = 1024
@@ -46,43 +55,50 @@ SEED = 11
 
 @dataclass(frozen=True)
 class Model:
-    """Evidence per n-gram, the bound, and how many documents pass it."""
+    """Clear evidence per n-gram, and each family's bound (below zero)."""
 
-    ratio: np.ndarray
-    bound: float
+    evidence: np.ndarray
+    bounds: tuple[float, float] = (-1.0, -1.0)
 
 
-def gram_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all n-grams of all texts, and the text each belongs to; the last number is 'a word again'."""
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
+def gram_ids(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each family, the numbers of all n-grams of all texts, and the text each belongs to."""
+    gap = b"\n" * BEGIN
+    joined = gap.join(texts) + gap + bytes(8)
+    data = np.frombuffer(joined, np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    count = max(0, len(data) - GRAM + 1)
-    code = np.zeros(count, np.uint32)
-    for i in range(GRAM):
-        code = (code << np.uint32(8)) | data[i : i + count]
-    code *= np.uint32(0x9E3779B1)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths + BEGIN)
+    ends = np.cumsum(lengths + BEGIN) - BEGIN
+    count = len(owner)
+    code = np.ndarray((count,), "<u4", joined, 0, (1,)) * np.uint32(0x9E3779B1)
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x85EBCA6B)
-    inside = owner[:count] == owner[len(data) - count :]
-    ids = (code >> np.uint32(32 - BITS))[inside].astype(np.int64)
+    inside = np.flatnonzero(np.arange(GRAM, count + GRAM) <= ends[owner])
+    ids = (code[inside] >> np.uint32(32 - BITS)).astype(np.int64)
     again = np.fromiter(
         (sum(map(operator.eq, words, words[1:])) for words in map(bytes.split, texts)), np.int64, len(texts)
     )
-    return (
+    first = (
         np.concatenate([ids, np.full(int(again.sum()), 1 << BITS)]),
-        np.concatenate([owner[:count][inside], np.repeat(np.arange(len(texts)), again)]),
+        np.concatenate([owner[inside], np.repeat(np.arange(len(texts), dtype=np.int32), again)]),
     )
-
-
-def statistics(texts: list[bytes], ratio: np.ndarray) -> np.ndarray:
-    """Clear evidence against the target over the root of the number of n-grams; 0 without n-grams."""
-    clear = np.where(ratio < -STRONG, ratio, 0.0)
-    out = np.zeros(len(texts))
+    blank = (data[:count] == 32) | ((data[:count] >= 9) & (data[:count] <= 13))
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])[:count])
+    word = np.ndarray((count,), "<u8", joined.lower(), 0, (1,))[starts] & np.uint64((1 << (8 * BEGIN)) - 1)
+    word = word * np.uint64(0x9E3779B97F4A7C15)
+    word ^= word >> np.uint64(29)
+    word *= np.uint64(0xBF58476D1CE4E5B9)
+    second = ((word >> np.uint64(64 - BITS)).astype(np.int64) + FAMILIES[1], owner[starts])
+    return [first, second]
+
+
+def statistics(texts: list[bytes], evidence: np.ndarray) -> np.ndarray:
+    """For each family and text, clear evidence over the root of the number of n-grams; 0 without n-grams."""
+    out = np.zeros((len(FAMILIES) - 1, len(texts)))
     for start, end in chunks(texts):
-        ids, owner = gram_ids(texts[start:end])
-        total = np.bincount(owner, weights=clear[ids], minlength=end - start)
-        out[start:end] = total / np.sqrt(np.maximum(np.bincount(owner, minlength=end - start), 1))
+        for row, (ids, owner) in zip(out, gram_ids(texts[start:end])):
+            total = np.bincount(owner, weights=evidence[ids], minlength=end - start)
+            row[start:end] = total / np.sqrt(np.maximum(np.bincount(owner, minlength=end - start), 1))
     return out
 
 
@@ -102,9 +118,9 @@ def labelled_sample(labels: DataFrame, max_labels: int) -> tuple[np.ndarray, np.
 
 
 def fits(ids: np.ndarray) -> np.ndarray:
-    """Which labelled documents fit the target model; the others set the bound."""
+    """Which labelled documents fit the target model (three of four); the others set the bounds."""
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(40)) % np.uint64(2) == 0
+    return (mixed >> np.uint64(40)) % np.uint64(4) != 0
 
 
 def gram_counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +129,10 @@ def gram_counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray) -> tuple[np.
     Each task sends its counts once, in ``PIECES`` pieces that are summed apart;
     the driver gets one vector of fixed length.
     """
-    size, step = (1 << BITS) + 1, -(-((1 << BITS) + 1) // PIECES)
     target_ids = ids[good & fits(ids)]
 
     def count(batches):
-        sums = np.zeros((2, PIECES * step), np.int64)
+        sums = np.zeros((2, PIECES * STEP), np.int64)
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             numbers = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
@@ -125,22 +140,16 @@ def gram_counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray) -> tuple[np.
             at = np.minimum(np.searchsorted(target_ids, numbers), max(0, len(target_ids) - 1))
             chosen = known & (target_ids[at] == numbers) if len(target_ids) else np.zeros(len(texts), bool)
             for start, end in chunks(texts):
-                found, owner = gram_ids(texts[start:end])
-                sums[0] += np.bincount(found, minlength=PIECES * step)
                 wanted = chosen[start:end]
-                if wanted.any():
-                    sums[1] += np.bincount(found[wanted[owner]], minlength=PIECES * step)
-        pieces = sums.reshape(2, PIECES, step)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(PIECES), pa.int32()), *(pa.array([p.tobytes() for p in side], pa.binary()) for side in pieces)],
-            ["piece", "raw", "target"],
-        )
+                for found, owner in gram_ids(texts[start:end]):
+                    sums[0] += np.bincount(found, minlength=PIECES * STEP)
+                    if wanted.any():
+                        sums[1] += np.bincount(found[wanted[owner]], minlength=PIECES * STEP)
+        sides = [pa.array([p.tobytes() for p in side], pa.binary()) for side in sums.reshape(2, PIECES, STEP)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), *sides], ["piece", "raw", "target"])
 
     def merge(table: pa.Table) -> pa.Table:
-        sums = [np.zeros(step, np.int64), np.zeros(step, np.int64)]
-        for total, name in zip(sums, ("raw", "target")):
-            for part in table.column(name):
-                total += np.frombuffer(part.as_buffer(), np.int64)
+        sums = [sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column(name)) for name in ("raw", "target")]
         return pa.table(
             {"piece": table.column("piece")[:1], "raw": [sums[0].tobytes()], "target": [sums[1].tobytes()]},
             pa.schema([("piece", pa.int32()), ("raw", pa.binary()), ("target", pa.binary())]),
@@ -148,67 +157,68 @@ def gram_counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray) -> tuple[np.
 
     schema = "piece int, raw binary, target binary"
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, schema)
-    rows = parts.groupBy("piece").applyInArrow(merge, schema).collect()
-    raw, target = np.zeros((PIECES, step), np.int64), np.zeros((PIECES, step), np.int64)
-    for row in rows:
-        raw[row["piece"]] = np.frombuffer(row["raw"], np.int64)
-        target[row["piece"]] = np.frombuffer(row["target"], np.int64)
-    return raw.ravel()[:size], target.ravel()[:size]
-
+    out = np.zeros((2, PIECES, STEP), np.int64)
+    for row in parts.groupBy("piece").applyInArrow(merge, schema).collect():
+        out[0, row["piece"]] = np.frombuffer(row["raw"], np.int64)
+        out[1, row["piece"]] = np.frombuffer(row["target"], np.int64)
+    raw, target = out.reshape(2, -1)[:, : FAMILIES[-1]]
+    return raw, target
+
+
+def clear_evidence(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log of target over raw probability, with one count of doubt on either side, where clearly below 0."""
+    out = np.zeros(FAMILIES[-1], np.float32)
+    for start, end, strong in zip(FAMILIES, FAMILIES[1:], STRONG):
+        own, all_ = target[start:end], raw[start:end]
+        ratio = np.log((own + 1.0) / (all_ * (own.sum() / max(1, all_.sum())) + 1.0))
+        out[start:end] = np.where(ratio < -strong, ratio, 0.0)
+    return out
 
-def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of target over raw probability, with one count of doubt on either side."""
-    expected = raw * (target.sum() / max(1, raw.sum()))
-    return np.log((target + 1.0) / (expected + 1.0)).astype(np.float32)
 
+def bound_of(good: np.ndarray, bad: np.ndarray, max_loss: float = MAX_LOSS) -> float:
+    """The value that parts good from bad best and has at most ``max_loss`` of the good below.
 
-def bound_of(good: np.ndarray, bad: np.ndarray) -> float:
-    """The statistic that parts good from bad best: halfway between the two nearest."""
+    Halfway between the two nearest values; below zero.
+    """
     if not len(good) or not len(bad):
         return -np.inf
     values = np.concatenate([good, bad])
     order = np.argsort(values, kind="stable")
     is_good = np.concatenate([np.ones(len(good)), np.zeros(len(bad))])[order]
-    values = values[order]
-    # cut before position i: bad ones below it and good ones from it on are right
-    below_bad = np.concatenate([[0], np.cumsum(1 - is_good)]) / len(bad)
-    from_good = 1 - np.concatenate([[0], np.cumsum(is_good)]) / len(good)
-    gain = below_bad + from_good
-    gain[1:-1][values[1:] == values[:-1]] = -1.0
+    values = np.append(values[order], 0.0)
+    # a cut before position i has the values before it below
+    bad_below = np.concatenate([[0], np.cumsum(1 - is_good)]) / len(bad)
+    good_below = np.concatenate([[0], np.cumsum(is_good)]) / len(good)
+    gain = np.where(good_below <= max_loss, bad_below - good_below, -1.0)
+    gain[1:][values[1:] == values[:-1]] = -1.0  # equal values stay together
     at = int(np.argmax(gain))
-    if at == 0:
-        return -np.inf
-    return float((values[at - 1] + values[at]) / 2) if at < len(values) else float(values[-1]) + 1e-9
+    return -np.inf if at == 0 else min(float((values[at - 1] + values[at]) / 2), -1e-9)
 
 
-def statistic(text: Column, ratio: np.ndarray) -> Column:
-    """The statistic as a column; ``ratio`` has a fixed size of one MB."""
+def statistic(text: Column, evidence: np.ndarray) -> Column:
+    """A struct of the two families' statistics; ``evidence`` has a fixed size of two MB."""
+    kind = T.StructType([T.StructField(name, T.DoubleType()) for name in ("grams", "words")])
 
-    @F.arrow_udf(T.DoubleType())
+    @F.arrow_udf(kind)
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(statistics(text_bytes(texts), ratio), pa.float64())
+        rows = statistics(text_bytes(texts), evidence)
+        return pa.StructArray.from_arrays([pa.array(r, pa.float64()) for r in rows], names=kind.names)
 
     return score(text)
 
 
+def log_weight(stat: Column, bounds: tuple[float, float], temperature: float) -> Column:
+    """Above 0 if both families pass; the worse one counts."""
+    scaled = [stat[name] / F.lit(-b) if np.isfinite(b) else F.lit(0.0) for name, b in zip(("grams", "words"), bounds)]
+    return (F.least(*scaled) + 1.0) / F.lit(temperature)
+
+
 def noise(doc_id: Column) -> Column:
     """Gumbel noise from a hash."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED + 1), doc_id), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     return -F.log(-F.log(uniform))
 
 
-def key_of(stat: Column, doc_id: Column, bound: float, temperature: float) -> Column:
-    bound = max(bound, -1e9)
-    return (stat - F.lit(bound)) / F.lit(temperature) + noise(doc_id)
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tuple[Model, np.ndarray, np.ndarray]:
-    """The model without its bound, the ids of labelled documents, and whether each is good."""
-    ids, good = labelled_sample(labels, max_labels)
-    raw, target = gram_counts(docs, ids, good)
-    return Model(log_ratio(raw, target), -np.inf), ids, good
-
-
 def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     """The ``k``-th largest value, by counts over ever finer bins: no sort, no collection."""
     if k <= 0:
@@ -248,33 +258,36 @@ class Selection:
 def select(
     docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, temperature: float = TEMPERATURE
 ) -> Selection:
-    """Scores of all documents (``doc_id, statistic, log_weight, key``) and the least key that is taken."""
-    model, ids, good = fit(docs, labels, max_labels)
-    scores = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistic(F.col("text"), model.ratio).alias("statistic")))
+    """Scores of all documents (``doc_id, grams, words, log_weight, key``) and the least key that is taken."""
+    ids, good = labelled_sample(labels, max_labels)
+    evidence = clear_evidence(*gram_counts(docs, ids, good))
+    stat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistic(F.col("text"), evidence).alias("_s"))
+    scores = cut(stat.select("doc_id", "_s.grams", "_s.words"))
     held = scores.sparkSession.createDataFrame(
         [(int(i), bool(g)) for i, g in zip(ids[~fits(ids)], good[~fits(ids)])], "doc_id long, good boolean"
     )
-    known = scores.join(F.broadcast(held), "doc_id").select("statistic", "good").limit(4 * max_labels).toPandas()
-    is_good = known["good"].to_numpy(bool)
-    bound = bound_of(known["statistic"].to_numpy()[is_good], known["statistic"].to_numpy()[~is_good])
-    model = Model(model.ratio, bound)
-    weight = (F.col("statistic") - F.lit(max(bound, -1e9))) / F.lit(temperature)
-    scores = scores.withColumn("log_weight", weight).withColumn(
-        "key", key_of(F.col("statistic"), F.col("doc_id"), bound, temperature)
-    )
+    known = scores.join(F.broadcast(held), "doc_id").groupBy("doc_id", "good").agg(F.min("grams"), F.min("words"))
+    known = known.toPandas().to_numpy()
+    is_good = known[:, 1].astype(bool)
+    model = Model(evidence, tuple(bound_of(*(known[side, n].astype(float) for side in (is_good, ~is_good))) for n in (2, 3)))
+    weight = log_weight(F.struct("grams", "words"), model.bounds, temperature)
+    scores = scores.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") + noise(F.col("doc_id")))
     k = scores.where(F.col("log_weight") >= 0).count()
     return Selection(model, scores, kth_largest(scores, "key", k))
 
 
-def resample(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, temperature: float = TEMPERATURE) -> DataFrame:
-    """``doc_id, statistic, log_weight, key, accepted`` of each document."""
+def resample(
+    docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, temperature: float = TEMPERATURE
+) -> DataFrame:
+    """``doc_id, grams, words, log_weight, key, accepted`` of each document."""
     chosen = select(docs, labels, max_labels, temperature)
     return chosen.scores.withColumn("accepted", F.col("key") >= F.lit(float(chosen.least_key)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, temperature: float = TEMPERATURE) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, temperature: float = TEMPERATURE
+) -> DataFrame:
     """The accepted rows of ``docs``, as they are; texts are scored again rather than shuffled."""
     chosen = select(docs, labels, max_labels, temperature)
-    stat = statistic(F.col("text"), chosen.model.ratio)
-    key = key_of(stat, F.col("doc_id").cast("long"), chosen.model.bound, temperature)
-    return docs.where(key >= F.lit(float(chosen.least_key)))
+    weight = log_weight(statistic(F.col("text"), chosen.model.evidence), chosen.model.bounds, temperature)
+    return docs.where(weight + noise(F.col("doc_id").cast("long")) >= F.lit(float(chosen.least_key)))
