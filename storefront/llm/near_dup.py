@@ -33,6 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storefront.llm.common import cut, text_bytes
+from storefront.llm.hashing import mixed
 
 SHINGLE = 5
 THRESHOLD = 75  # in hundredths
@@ -49,12 +50,6 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 LOST = -(1 << 63)  # stands for a null id in joins
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
-
-
 def shingle_set(text: bytes) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text."""
     words = text.lower().split()

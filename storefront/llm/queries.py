@@ -13,6 +13,7 @@ from storefront.llm.mixing import mix
 from storefront.llm.near_dup import near_duplicates
 from storefront.llm.quality import resample
 from storefront.llm.secrets import scan_secrets
+from storefront.llm.word_repeats import remove_repeats
 from storefront.llm.urls import GLOB_RULES, HOST_RULES, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,11 @@ def op4_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_table(spark, folder, "documents"))
 
 
+def op6_count_min_windows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = remove_repeats(_table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"))
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_bbit_minhash": op3_bbit_minhash,
     "op4_curriculum_mix": op4_curriculum_mix,
+    "op6_count_min_windows": op6_count_min_windows,
     "op8_url_rules": op8_url_rules,
     "op9_importance_resample": op9_importance_resample,
     "op10_arc_to_warc": op10_arc_to_warc,
