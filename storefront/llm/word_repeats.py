@@ -10,8 +10,7 @@ Pass 2 reads the texts again and takes up only windows whose anchor is estimated
 to occur twice; those are grouped exactly, by 96 bits of hash. None is lost: a low
 estimate proves that a window is alone. Pass 3 takes the covered words out.
 
-The sketch has a fixed width, and so has what is sent to the tasks (``ROWS`` times
-``2 ** WIDTH_BITS`` bits); a corpus that fills it lets more windows through to the
+The sketch has a fixed width, and so has what is sent to the tasks; a corpus that fills it lets more windows through to the
 exact pass, with the same result. Windows that repeat within what a task holds are
 settled there, and it sends each of them on once, so a passage that stands in every
 document costs one row per task.
@@ -23,7 +22,6 @@ an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,17 +32,16 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storefront.llm.common import chunks, distinct, text_bytes
+from storefront.llm.common import chunks, text_bytes
+from storefront.llm.count_min import sketch
 from storefront.llm.hashing import mixed
+from storefront.llm.window_groups import Groups, settle
 
 WINDOW = 35
 GRAM = 12
-ROWS = 2
-WIDTH_BITS = 27
-PIECE_BITS = 20
 HELD = 1 << 20  # windows a task settles at once
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-SALTS = (np.uint64(0), np.uint64(0x632BE59BD9B4E019))
+SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def joined(left: np.ndarray, right: np.ndarray, offset: int) -> np.ndarray:
@@ -95,102 +92,24 @@ class Windows:
         self.anchors = grams[at[new]]
 
     def keys(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each chosen window."""
+        """Two hashes of each chosen window, the second never below 0."""
         at = self.starts[chosen]
-        return spans(self.hashes, WINDOW)[at], spans(mixed(self.hashes ^ SALTS[1]), WINDOW)[at]
+        first, second = spans(self.hashes, WINDOW)[at], spans(mixed(self.hashes ^ SECOND), WINDOW)[at]
+        return first.view(np.int64), (second >> np.uint64(33)).astype(np.int32)
 
 
-def cells(anchors: np.ndarray) -> Iterator[np.ndarray]:
-    """The cell of each anchor in each row of the sketch."""
-    for salt in SALTS[:ROWS]:
-        yield (mixed(anchors ^ salt) >> np.uint64(64 - WIDTH_BITS)).astype(np.int64)
+def anchors_of(texts: list[bytes]) -> np.ndarray:
+    return Windows(texts).anchors
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
-    """For each row of the merged sketch, a bit per cell: whether it has counted two or more."""
-    pieces = 1 << (WIDTH_BITS - PIECE_BITS)
-
-    def partial(anchors: np.ndarray) -> pa.RecordBatch:
-        numbers, payloads = [], []
-        for row, at in enumerate(cells(anchors)):
-            cell, count = distinct(at)
-            # a cell counted twice or more stands twice
-            cell = np.repeat(cell, np.minimum(count, 2))
-            ends = np.searchsorted(cell, np.arange(1, pieces + 1) << PIECE_BITS)
-            for piece, (start, end) in enumerate(zip([0, *ends[:-1]], ends)):
-                if end > start:
-                    numbers.append(row * pieces + piece)
-                    payloads.append((cell[start:end] & ((1 << PIECE_BITS) - 1)).astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], ["piece", "cells"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            for start, end in chunks(texts):
-                held.append(Windows(texts[start:end]).anchors)
-                if sum(map(len, held)) > HELD:
-                    yield partial(np.concatenate(held))
-                    held = []
-        if held:
-            yield partial(np.concatenate(held))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by piece; one piece is held at a time
-        current, total = None, np.zeros(1 << PIECE_BITS, np.uint8)
-
-        def done() -> pa.RecordBatch:
-            bits = zlib.compress(np.packbits(total >= 2).tobytes(), 1)
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([bits], pa.binary())], ["piece", "bits"])
-
-        for batch in batches:
-            for piece, part in zip(batch.column("piece").to_pylist(), batch.column("cells")):
-                if piece != current:
-                    if current is not None:
-                        yield done()
-                    current, total = piece, np.zeros(1 << PIECE_BITS, np.uint8)
-                cell, times = distinct(np.frombuffer(part.as_buffer(), "<u4"))
-                total[cell] = np.minimum(total[cell] + times, 2)
-        if current is not None:
-            yield done()
-
-    parts = docs.select("text").mapInArrow(count, "piece int, cells binary")
-    merged = parts.repartition(ROWS * pieces, "piece").sortWithinPartitions("piece")
-    bits = np.zeros((ROWS * pieces, 1 << (PIECE_BITS - 3)), np.uint8)
-    for row in merged.mapInArrow(merge, "piece int, bits binary").collect():
-        bits[row["piece"]] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-    return bits.reshape(ROWS, -1)
-
-
-def maybe_repeated(anchors: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether each anchor is estimated to occur twice or more."""
-    out = np.ones(len(anchors), bool)
-    for row, at in zip(bits, cells(anchors)):
-        out &= (row[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 != 0
-    return out
-
-
-def repeated_windows(docs: DataFrame, bits: Broadcast) -> DataFrame:
+def repeated_windows(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """``row_key, place`` of each window that stands elsewhere too; ``docs`` has row_key and text."""
     names = ["h1", "h2", "row_key", "place"]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-    known_alone, known_twice = -1, -2  # places of rows that only say: it was here, it was settled
 
-    def settle(parts: list[tuple]) -> pa.RecordBatch:
-        """Windows met once in these parts as they are; others are settled, and one row says so."""
-        h1, h2, key, place = (np.concatenate(p) for p in zip(*parts))
-        order = np.lexsort((h2, h1))
-        h1, h2, key, place = h1[order], h2[order], key[order], place[order]
-        same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        heads = again & ~np.concatenate([[False], same])
-        # settled rows travel under a hash of their own document, not under the window's
-        h1, h2 = np.concatenate([h1, h1[heads]]), np.concatenate([h2, h2[heads]])
-        settled = np.flatnonzero(again)
-        h1[settled], h2[settled] = mixed(key[settled].view(np.uint64)).view(np.int64), known_twice
-        key = np.concatenate([key, np.zeros(heads.sum(), np.int64)])
-        place = np.concatenate([place, np.full(heads.sum(), known_alone, np.int32)])
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((h1, h2, key, place), kinds)], names)
+    def settled(parts: list[tuple]) -> pa.RecordBatch:
+        columns = settle(*(np.concatenate(p) for p in zip(*parts)))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def take_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -199,37 +118,23 @@ def repeated_windows(docs: DataFrame, bits: Broadcast) -> DataFrame:
             keys = batch.column("row_key").to_numpy(zero_copy_only=False)
             for start, end in chunks(texts):
                 windows = Windows(texts[start:end])
-                chosen = np.flatnonzero(maybe_repeated(windows.anchors, bits.value)[windows.anchor_of])
+                chosen = np.flatnonzero(shared.value.repeated(windows.anchors)[windows.anchor_of])
                 if len(chosen):
                     h1, h2 = windows.keys(chosen)
-                    short = (h2 >> np.uint64(33)).astype(np.int32)  # never below 0
-                    held.append((h1.view(np.int64), short, keys[start:end][windows.owner[chosen]], windows.place[chosen].astype(np.int32)))
+                    owners = keys[start:end][windows.owner[chosen]]
+                    held.append((h1, h2, owners, windows.place[chosen].astype(np.int32)))
                     size += len(chosen)
                 if size > HELD:
-                    yield settle(held)
+                    yield settled(held)
                     held, size = [], 0
         if held:
-            yield settle(held)
+            yield settled(held)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by window; the last row of a batch may go on in the next
-        last, waiting = None, None
+        groups = Groups()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            h1, h2, key, place = (batch.column(n).to_numpy(zero_copy_only=False) for n in names)
-            settled = h2 == known_twice
-            same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-            again = np.concatenate([[last == (h1[0], h2[0])], same])
-            good = (again | np.concatenate([same, [False]]) | settled) & (place >= 0)
-            out_key, out_place = key[good], place[good]
-            if waiting is not None and again[0]:
-                out_key, out_place = np.append(out_key, waiting[0]), np.append(out_place, waiting[1])
-            last = (h1[-1], h2[-1])
-            # a single row at the end waits for the next batch
-            alone = not again[-1] and not settled[-1] and place[-1] >= 0
-            waiting = (key[-1], place[-1]) if alone else None
-            yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.int64()), pa.array(out_place, pa.int32())], ["row_key", "place"])
+            found = groups.add(*(batch.column(n).to_numpy(zero_copy_only=False) for n in names))
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int32())], names[2:])
 
     rows = docs.select("row_key", "text").mapInArrow(take_up, "h1 long, h2 int, row_key long, place int")
     parts = rows.repartition(F.col("h1")).sortWithinPartitions("h1", "h2")
@@ -239,8 +144,8 @@ def repeated_windows(docs: DataFrame, bits: Broadcast) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` of each row: the words no repeated window covers, by one space."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(docs))
-    places = repeated_windows(keyed, bits).groupBy("row_key").agg(F.collect_list("place").alias("places"))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, anchors_of))
+    places = repeated_windows(keyed, shared).groupBy("row_key").agg(F.collect_list("place").alias("places"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
