@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storefront.llm.archives import MIN_REVISIT, archive_round_trip
+from storefront.llm.byte_repeats import remove_repeated_bytes
 from storefront.llm.decontam import find_leaks
 from storefront.llm.mixing import mix
 from storefront.llm.near_dup import near_duplicates
@@ -45,6 +46,11 @@ def op6_count_min_windows(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_bwt_merge(spark: SparkSession, folder: str) -> DataFrame:
+    rows = remove_repeated_bytes(_table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(_table(spark, folder, "pages"))
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op3_bbit_minhash": op3_bbit_minhash,
     "op4_curriculum_mix": op4_curriculum_mix,
     "op6_count_min_windows": op6_count_min_windows,
+    "op7_bwt_merge": op7_bwt_merge,
     "op8_url_rules": op8_url_rules,
     "op9_importance_resample": op9_importance_resample,
     "op10_arc_to_warc": op10_arc_to_warc,
