@@ -12,6 +12,7 @@ from storefront.llm.byte_repeats import remove_repeated_bytes
 from storefront.llm.decontam import find_leaks
 from storefront.llm.mixing import mix
 from storefront.llm.near_dup import near_duplicates
+from storefront.llm.order_minhash import as_text, fingerprints, likeness
 from storefront.llm.quality import resample
 from storefront.llm.secrets import scan_secrets
 from storefront.llm.word_repeats import remove_repeats
@@ -41,6 +42,20 @@ def op4_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_table(spark, folder, "documents"))
 
 
+def op5_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fingerprints(_table(spark, folder, "documents"))
+    own, other, after = F.col("tuples"), F.col("edited_tuples"), F.col("next_tuples")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_text(own).alias("fingerprint"),
+        as_text(other).alias("edited_fingerprint"),
+        likeness(own, other).alias("near_edited"),
+        likeness(own, after).alias("near_next"),
+    )
+
+
 def op6_count_min_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = remove_repeats(_table(spark, folder, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -69,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_bbit_minhash": op3_bbit_minhash,
     "op4_curriculum_mix": op4_curriculum_mix,
+    "op5_order_minhash": op5_order_minhash,
     "op6_count_min_windows": op6_count_min_windows,
     "op7_bwt_merge": op7_bwt_merge,
     "op8_url_rules": op8_url_rules,
