@@ -42,7 +42,9 @@ def _bucket_of(doc_id: Column, bounds: list[int]) -> Column:
     fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in [*groups, []]])
     whole = F.size(F.filter(lasts, lambda x: x > doc_id))
     rest = F.size(F.filter(F.get(fine, whole), lambda x: x > doc_id))
-    return F.when(doc_id.isNull(), len(bounds) + 1).otherwise(whole * step + rest)
+    # the last group may be short
+    below = F.least(whole * step, F.lit(len(bounds))) + rest
+    return F.when(doc_id.isNull(), len(bounds) + 1).otherwise(below)
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
