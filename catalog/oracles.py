@@ -12,6 +12,8 @@ from catalog.queries import (
     DOMAINS,
     EMAIL_PARTS,
     EMAIL_SUFFIXES,
+    DEEP_LIMIT,
+    DEEP_QUOTA,
     LIMIT,
     NETWORKS,
     SITE_PATHS,
@@ -351,6 +353,32 @@ SELECT query_ord AS city_ord, (['en', 'fr', 'de', 'es'])[query_ord + 1] AS city,
 FROM (SELECT {_BUSINESS}, {blanks} FROM kept)"""
 
 
+def _page_quota(table: str, by: str, idx: str, amount: str, least: int, limit: int) -> str:
+    """Pages of 250 keys, read one after the other; rows over ``least`` count."""
+    return f"""
+WITH RECURSIVE placed AS (
+  SELECT {by}, {idx} // 250 AS page_no, {idx}, {amount},
+         row_number() OVER (PARTITION BY {by}, {idx} // 250 ORDER BY {idx}) - 1 AS place
+  FROM {table}),
+result_pages AS (
+  SELECT {by}, page_no,
+         row_number() OVER (PARTITION BY {by} ORDER BY page_no) AS step,
+         list(place) FILTER ({amount} > {least}) AS places
+  FROM placed GROUP BY {by}, page_no),
+reading AS (
+  SELECT {by}, page_no, step, {limit} AS quota,
+         {limit} - len(list_filter(coalesce(places, []), lambda x: x < {limit})) AS remaining
+  FROM result_pages WHERE step = 1
+  UNION ALL
+  SELECT p.{by}, p.page_no, p.step, r.remaining,
+         r.remaining - len(list_filter(coalesce(p.places, []), lambda x: x < r.remaining))
+  FROM reading r JOIN result_pages p ON p.{by} = r.{by} AND p.step = r.step + 1
+  WHERE r.remaining > 0)
+SELECT {by}, page_no, {idx}, {amount}
+FROM placed JOIN reading USING ({by}, page_no)
+WHERE {amount} > {least} AND place < quota"""
+
+
 ORACLES: dict[str, str] = {
     "city_list": f"""
 SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS ord, unnest(l) AS city
@@ -480,28 +508,11 @@ FROM part GROUP BY p_brand""",
     "limit_per_city": f"""
 SELECT c_nationkey, c_custkey, c_name FROM customer
 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= {LIMIT}""",
-    "page_quota_limit": f"""
-WITH RECURSIVE placed AS (
-  SELECT c_nationkey, c_custkey // 250 AS page_no, c_custkey, c_acctbal,
-         row_number() OVER (PARTITION BY c_nationkey, c_custkey // 250 ORDER BY c_custkey) - 1 AS place
-  FROM customer),
-result_pages AS (
-  SELECT c_nationkey, page_no,
-         row_number() OVER (PARTITION BY c_nationkey ORDER BY page_no) AS step,
-         list(place) FILTER (c_acctbal > 5000) AS places
-  FROM placed GROUP BY c_nationkey, page_no),
-reading AS (
-  SELECT c_nationkey, page_no, step, {LIMIT} AS quota,
-         {LIMIT} - len(list_filter(coalesce(places, []), lambda x: x < {LIMIT})) AS remaining
-  FROM result_pages WHERE step = 1
-  UNION ALL
-  SELECT p.c_nationkey, p.page_no, p.step, r.remaining,
-         r.remaining - len(list_filter(coalesce(p.places, []), lambda x: x < r.remaining))
-  FROM reading r JOIN result_pages p ON p.c_nationkey = r.c_nationkey AND p.step = r.step + 1
-  WHERE r.remaining > 0)
-SELECT c_nationkey, page_no, c_custkey, c_acctbal
-FROM placed JOIN reading USING (c_nationkey, page_no)
-WHERE c_acctbal > 5000 AND place < quota""",
+    "page_quota_limit": _page_quota("customer", "c_nationkey", "c_custkey", "c_acctbal", 5000, LIMIT),
+    "limit_deep": f"""
+SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) <= {DEEP_LIMIT}""",
+    "page_quota_deep": _page_quota("orders", "o_orderstatus", "o_orderkey", "o_totalprice", 150000, DEEP_QUOTA),
     "city_order": f"""
 WITH {_CUSTOMERS}
 SELECT city_ord, name AS city, c_custkey, c_name

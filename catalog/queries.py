@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storefront.functions.binding import settled
 from storefront.functions.emails import is_false_email, text_emails
 from storefront.functions.markup import title_text
 from storefront.functions.text import (
@@ -43,7 +44,6 @@ from storefront.operators.rules import (
 )
 from storefront.plans import directory
 from storefront.sinks import export
-from storefront.sources.captures import spread
 from storefront.sources.cities import city_lists, city_queries
 
 # Lists that hit the driver's data.
@@ -71,15 +71,12 @@ PAGE_RULES = (
 )
 TEMPLATE = "gym in [city] ([City])"
 LIMIT = 12
-
-
-# Tables with long texts, which are worth a shuffle when they come as one file.
-_TEXT_TABLES = ("pages", "documents")
+DEEP_LIMIT = 5000
+DEEP_QUOTA = 1200
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(table) if name in _TEXT_TABLES else table
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _lang(url: Column) -> Column:
@@ -276,7 +273,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = html_nodes(F.col("html"), rules_interest(PAGE_RULES))
-    pages = _table(spark, sf_dir, "pages").select("page_id", nodes.alias("_nodes"))
+    pages = settled(_table(spark, sf_dir, "pages").select("page_id", nodes.alias("_nodes")))
     found = pages.select(
         "page_id", candidate_array("_nodes", PAGE_RULES, F.lit(0)).alias("_found")
     )
@@ -384,6 +381,22 @@ def page_quota_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def limit_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 at a limit beyond Spark's own cut per task, over few and large groups."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return row_ops.limit_rows(lines, ["l_returnflag"], ["l_orderkey", "l_linenumber"], DEEP_LIMIT)
+
+
+def page_quota_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 at a limit over a thousand: pages of 250 orders per status, an order counts above 150,000."""
+    orders = _table(spark, sf_dir, "orders").select(
+        "o_orderstatus", F.floor(F.col("o_orderkey") / 250).alias("page_no"), "o_orderkey", "o_totalprice"
+    )
+    return row_ops.limit_page_quota(
+        orders, ["o_orderstatus"], "page_no", "o_orderkey", DEEP_QUOTA, F.col("o_totalprice") > 150_000
+    )
+
+
 def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations, and after them the regions, which no customer lives in."""
     nations = _table(spark, sf_dir, "nation").select(
@@ -547,6 +560,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_counts": dedup_counts,
     "limit_per_city": limit_per_city,
     "page_quota_limit": page_quota_limit,
+    "limit_deep": limit_deep,
+    "page_quota_deep": page_quota_deep,
     "city_order": city_order,
     "sheet_manifest": sheet_manifest,
     "run_status": run_status,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     code generation cannot share it, and nested use multiplies the plan.
     """
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` whose columns no filter above is moved below.
+
+    A filter that moves below a Python column has it computed twice, once for
+    the filter. Spark does not move one below the columns a generator makes.
+    """
+    return rows.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in rows.columns)))))

@@ -7,17 +7,50 @@ or combines per map task before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storefront.functions.text import name_key
 from storefront.params import check_limit
 
-# The folded positions of a group stay below limit**3 / 6: 21 million numbers, 84 MB,
-# if all pages of a group are laid out for the worst; thousands as result pages are.
-PAGE_QUOTA_MAX = 500
+# Spark's own cut per map task ends at this limit.
+_CUT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def _changes(batch: pa.RecordBatch, columns: Sequence[str], last: tuple | None) -> tuple[list[bool], tuple]:
+    """For each row, whether it differs in ``columns`` from the one before; and the last row's values."""
+    values = list(zip(*(batch.column(c).to_pylist() for c in columns)))
+    return [now != before for before, now in zip([last, *values], values)], values[-1]
+
+
+def _cut_in_tasks(
+    rows: DataFrame, by: Sequence[str], order: Sequence[str], limit: int, steps: Sequence[str] = ()
+) -> DataFrame:
+    """The first ``limit`` rows of each group within each task, so that a shuffle moves no more.
+
+    With ``steps``, rows that agree in these count as one. Up to a setting Spark
+    does the same by itself.
+    """
+    if limit <= int(rows.sparkSession.conf.get(_CUT_SETTING, "1000")):
+        return rows
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, step, count = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new_group, group = _changes(batch, by, group)
+            new_step, step = _changes(batch, [*by, *steps], step) if steps else ([True] * batch.num_rows, None)
+            keep = []
+            for start, more in zip(new_group, new_step):
+                count = 1 if start else count + more
+                keep.append(count <= limit)
+            yield batch.filter(pa.array(keep))
+
+    return rows.sortWithinPartitions(*by, *order).mapInArrow(first, rows.schema)
 
 
 def dedup(
@@ -48,10 +81,12 @@ def limit_rows(
     rows: DataFrame, by: Sequence[str], order: Sequence[str], limit: int
 ) -> DataFrame:
     """The first ``limit`` rows of each group."""
+    limit = check_limit(limit)
     position = Window.partitionBy(*by).orderBy(*order)
     return (
-        rows.withColumn("_rank", F.row_number().over(position))
-        .where(F.col("_rank") <= check_limit(limit))
+        _cut_in_tasks(rows, by, order, limit)
+        .withColumn("_rank", F.row_number().over(position))
+        .where(F.col("_rank") <= limit)
         .drop("_rank")
     )
 
@@ -75,61 +110,42 @@ def limit_page_quota(
     are hence used in order, one card or more each, never more than ``limit - p``
     of them, and at the *n*-th at most ``limit - n + 1`` cards are still wanted. So the pages
     that can matter are at most ``limit * (limit + 1) / 2`` per group, whatever the
-    group holds; only their card positions are folded, and the cards themselves
-    move once. The bound rests on the limit, so that has a bound too
-    (``PAGE_QUOTA_MAX``).
+    group holds. Those are read in order, row by row, with two numbers of state.
     """
-    limit = check_limit(limit)
-    if limit > PAGE_QUOTA_MAX:
-        raise ValueError(f"a page quota is at most {PAGE_QUOTA_MAX}; use limit_rows beyond it")
-    on_page = Window.partitionBy(*by, page).orderBy(idx)
+    limit, columns = check_limit(limit), cards.columns
+    on_page = Window.partitionBy(*by, page)
     looked_at = (
-        cards.withColumn("_place", F.row_number().over(on_page))
+        cards.withColumn("_place", F.row_number().over(on_page.orderBy(idx)))
         .where(F.col("_place") <= limit)
         .where(valid)
         .withColumn("_at", F.col("_place") - 1)
+        .withColumn("_first", F.min("_at").over(on_page))
     )
-    pages = looked_at.groupBy(*by, page).agg(F.sort_array(F.collect_list("_at")).alias("_ats"))
     same_start = Window.partitionBy(*by, "_first").orderBy(page)
     usable = (
-        pages.withColumn("_first", F.get("_ats", 0))
-        .withColumn("_nth", F.row_number().over(same_start))
+        _cut_in_tasks(looked_at, [*by, "_first"], [page], limit, steps=[page])
+        .withColumn("_nth", F.dense_rank().over(same_start))
         .where((F.col("_nth") <= limit) & (F.col("_nth") <= limit - F.col("_first")))
-        .withColumn("_ats", F.filter("_ats", lambda at: at <= limit - F.col("_nth")))
-    )
-    page_type = cards.schema[page].dataType.simpleString()
-    used_type = f"array<struct<page:{page_type},quota:int>>"
-
-    def read_page(state: Column, p: Column) -> Column:
-        taken = F.size(F.filter(p["ats"], lambda at: at < state["left"]))
-        used = F.struct(p["page"].alias("page"), state["left"].alias("quota"))
-        return F.when(
-            F.get(p["ats"], 0) < state["left"],
-            F.struct(
-                (state["left"] - taken).alias("left"),
-                F.concat(state["used"], F.array(used)).cast(used_type).alias("used"),
-            ),
-        ).otherwise(state)
-
-    start = F.struct(
-        F.lit(limit).cast("int").alias("left"), F.array().cast(used_type).alias("used")
-    )
-    quotas = (
-        usable.groupBy(*by)
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.col(page).alias("page"), F.col("_ats").alias("ats")))
-            ).alias("_pages")
-        )
-        .select(
-            *by,
-            F.inline(F.aggregate("_pages", start, read_page, lambda state: state["used"])).alias(
-                page, "_quota"
-            ),
-        )
-    )
-    return (
-        looked_at.join(quotas, [*by, page])
-        .where(F.col("_at") < F.col("_quota"))
-        .select(*cards.columns)
+        .where(F.col("_at") <= limit - F.col("_nth"))
+        .select(*columns, "_at")
     )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, current, left, quota = None, None, limit, limit
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new_group, group = _changes(batch, by, group)
+            new_page, current = _changes(batch, [*by, page], current)
+            keep = []
+            for start, turn, at in zip(new_group, new_page, batch.column("_at").to_pylist()):
+                if start:
+                    left = limit
+                if turn:
+                    quota = left
+                keep.append(at < quota)
+                left -= at < quota
+            yield batch.select(columns).filter(pa.array(keep))
+
+    in_order = usable.repartition(*by).sortWithinPartitions(*by, page, idx)
+    return in_order.mapInArrow(read, cards.schema)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storefront.functions.binding import settled
 from storefront.functions.text import (
     address_clean,
     is_address,
@@ -268,7 +269,7 @@ def field_candidates(
     pages: DataFrame, rules: Sequence[Rule], by: Sequence[str], html: str = "html"
 ) -> DataFrame:
     """Candidate rows ``(*by, field, pri, pos, value)`` of every page."""
-    nodes = pages.select(*by, html_nodes(F.col(html), rules_interest(rules)).alias("_nodes"))
+    nodes = settled(pages.select(*by, html_nodes(F.col(html), rules_interest(rules)).alias("_nodes")))
     found = candidate_array("_nodes", rules, F.lit(0))
     return nodes.select(*by, F.inline(found))
 
@@ -295,6 +296,7 @@ def listing_fields(
             for scope, scoped in scopes.items()
         ),
     )
+    parsed = settled(parsed)
     found = F.concat(
         *(
             candidate_array(f"_{scope}", scoped, F.col("_idx"))

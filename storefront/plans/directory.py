@@ -65,9 +65,7 @@ def build_directory(
     found = listing_fields(listings, keys, rules)
     named = F.col("name") != ""
     if limit_mode == "page":
-        taken = limit_page_quota(
-            materialize(found), ["query_ord"], "page_no", "idx", limit, named
-        )
+        taken = limit_page_quota(found, ["query_ord"], "page_no", "idx", limit, named)
     elif limit_mode == "rows":
         taken = limit_rows(found.where(named), ["query_ord"], order, limit)
     else:

@@ -40,14 +40,3 @@ def read_captures(
 ) -> DataFrame:
     """Captured rows from a file table; the schema is stated, never inferred."""
     return spark.read.format(fmt).schema(schema).load(path)
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores, if their files yield fewer splits than that.
-
-    For a table in a few files that cannot be split any further. A table large
-    enough to matter has more splits than the cluster has cores and is returned
-    as it is, so this never shuffles a large table.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

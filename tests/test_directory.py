@@ -131,6 +131,18 @@ def test_result_does_not_depend_on_partitioning(spark, captures):
     assert _result(build_directory(listings.repartition(7, "idx"), pages.coalesce(1), limit=3)) == expected
 
 
+@pytest.mark.parametrize("mode", ["page", "rows"])
+def test_listings_are_parsed_once(spark, captures, tmp_path, mode):
+    """One Python stage and one scan of the listings, without a checkpoint folder too."""
+    listings, pages = captures
+    listings.write.parquet(str(tmp_path / "listings"))
+    stored = spark.read.parquet(str(tmp_path / "listings"))
+    out = build_directory(stored, pages, limit=4, limit_mode=mode, with_contacts=False)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("FileScan parquet") == 1
+
+
 def test_materialized_rows_are_read_back(spark, captures):
     listings, _ = captures
     narrow = listings.select("idx", F.length("panel_html").alias("n"))

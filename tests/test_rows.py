@@ -1,3 +1,4 @@
+import random
 from itertools import groupby
 
 import pytest
@@ -110,9 +111,26 @@ def test_quota_equals_reading_card_by_card(spark, pages, limit, parts):
     assert _quota(_cards(spark, pages, parts), limit) == _read_pages(pages, limit)
 
 
-def test_quota_has_a_bound(spark):
-    with pytest.raises(ValueError):
-        limit_page_quota(_cards(spark, [[[True]]]), ["city"], "page_no", "idx", 501, F.col("ok"))
+@pytest.mark.parametrize("limit", [501, 1500, 5000])
+def test_quota_at_large_limits(spark, limit):
+    """Also beyond the limit at which Spark's own cut per task ends."""
+    rng = random.Random(limit)
+    pages = [[[rng.random() < 0.7 for _ in range(rng.randrange(1, 25))] for _ in range(n)] for n in (500, 40, 3)]
+    assert _quota(_cards(spark, pages, 7), limit) == _read_pages(pages, limit)
+
+
+def test_a_deep_limit_is_cut_in_each_task(spark):
+    rows = spark.range(0, 200_000, 1, 4).selectExpr("if(id % 10 = 0, 'B', 'A') city", "id * 7919 % 200003 ord")
+    out = limit_rows(rows, ["city"], ["ord"], 1500)
+    want = {}
+    for city, order in rows.collect():
+        want.setdefault(city, []).append(order)
+    got = {}
+    for city, order in out.collect():
+        got.setdefault(city, []).append(order)
+    assert {c: sorted(v) for c, v in got.items()} == {c: sorted(v)[:1500] for c, v in want.items()}
+    tracker = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in tracker and tracker.index("Exchange") < tracker.index("MapInArrow")
 
 
 def test_quota_on_a_city_with_most_of_the_rows(spark):
