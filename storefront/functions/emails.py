@@ -63,9 +63,12 @@ def html_emails(
     suffixes: Sequence[str] = FALSE_EMAIL_SUFFIXES,
     parts: Sequence[str] = FALSE_EMAIL_PARTS,
     sep: str = "",
+    hrefs: Column | None = None,
 ) -> Column:
     """Addresses of a page: those in its text, then its ``mailto:`` links, each once.
 
+    ``hrefs`` are the page's links, if they have been read already.
+
     A page with no ``@``, written out or as a character reference, has none in
     its text, and one without ``mailto`` or a reference has no such link; the
     costly part is not evaluated for those.
@@ -75,7 +78,7 @@ def html_emails(
     in_text = F.when(html.contains("@") | escaped, text_emails(visible_text(html, sep)))
     in_links = F.when(
         html.contains("mailto") | html.contains("&#"),
-        mailto_emails(anchor_hrefs(html, skip_noscript=True)),
+        mailto_emails(anchor_hrefs(html) if hrefs is None else hrefs),
     )
     found = F.array_distinct(
         F.concat(F.coalesce(in_text, nothing), F.coalesce(in_links, nothing))

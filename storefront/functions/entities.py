@@ -2,17 +2,15 @@
 
 The text is cut at every ``&``; each piece is looked at once, so a decoded
 ``&`` is never decoded again. The names come from the standard library's tables.
-Numeric references are all decoded; of the names, by default, those of HTML 4
-and all that stand for an ASCII character. ``names=ALL_NAMES`` takes the whole
-HTML 5 table at the price of a 2,231-entry literal in the plan. Addresses are
-ASCII, so the choice makes no difference to the e-mails found.
+Numeric references are all decoded, and so are all names of HTML 5: the table is
+a literal in the plan, folded into one map when the query is planned.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from html.entities import html5, name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,11 +18,6 @@ from pyspark.sql import functions as F
 from storefront.functions.binding import let
 
 ALL_NAMES: Mapping[str, str] = html5
-COMMON_NAMES: Mapping[str, str] = {
-    name: text
-    for name, text in html5.items()
-    if name.rstrip(";") in name2codepoint or not name.endswith(";") or text.isascii()
-}
 # Names that also count without the closing semicolon, longest first.
 _BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
 _NUMBER = "^#(?:0*([0-9]+)|[xX]0*([0-9a-fA-F]+));?"
@@ -40,7 +33,8 @@ def _decoder(in_attribute: bool, names: Mapping[str, str]) -> str:
     As SQL it is one call to the JVM. The same as Column operations is over a
     hundred, which is what building a query would then spend its time on.
     """
-    table = json.dumps(dict(names)).replace("'", "\\u0027")
+    closed = {n: text for n, text in names.items() if n.endswith(";")}
+    unclosed = {n: text for n, text in names.items() if not n.endswith(";")}
     # In an attribute "&copy=1" and "&copyright" are no references.
     bare = f"^({_BARE_NAMES})" + ("(?![=a-zA-Z0-9])" if in_attribute else "")
     decimal = f"regexp_extract(piece, r'{_NUMBER}', 1)"
@@ -55,7 +49,8 @@ def _decoder(in_attribute: bool, names: Mapping[str, str]) -> str:
              WHEN n BETWEEN 128 AND 159 THEN substr('{_WINDOWS}', CAST(n AS INT) - 127, 1)
              ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END"""
 
-    def by_name(pattern: str) -> str:
+    def by_name(pattern: str, known: Mapping[str, str]) -> str:
+        table = json.dumps(known).replace("'", "\\u0027")
         return f"""
         transform(array(regexp_extract(piece, r'{pattern}', 1)),
                   name -> CASE WHEN name <> '' THEN
@@ -67,11 +62,11 @@ def _decoder(in_attribute: bool, names: Mapping[str, str]) -> str:
         WHEN regexp_like(piece, r'{_NUMBER}') THEN
           concat(transform(array({number}), n -> {character})[0],
                  regexp_replace(piece, r'{_NUMBER}', ''))
-        ELSE coalesce({by_name(_NAMED)}, {by_name(bare)}, concat('&', piece)) END"""
+        ELSE coalesce({by_name(_NAMED, closed)}, {by_name(bare, unclosed)}, concat('&', piece)) END"""
 
 
 def decode_entities(
-    c: Column, in_attribute: bool = False, names: Mapping[str, str] = COMMON_NAMES
+    c: Column, in_attribute: bool = False, names: Mapping[str, str] = ALL_NAMES
 ) -> Column:
     """Replace named and numeric character references by their characters."""
     decoder = F.expr(_decoder(in_attribute, names))

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from storefront.functions.entities import COMMON_NAMES, decode_entities
+from storefront.functions.entities import ALL_NAMES, decode_entities
 
 SPACE = r"[\t\n\f\r ]"
 END = r"(?![\s\S])"
@@ -68,8 +68,7 @@ def _anchor_pattern(raw: str) -> str:
 
 
 _RAW_TEXT = "script|style|title|textarea|iframe|xmp|noframes|noembed"
-_ANCHORS = _anchor_pattern(_RAW_TEXT)
-_ANCHORS_OUTSIDE_NOSCRIPT = _anchor_pattern(_RAW_TEXT + "|noscript")
+_ANCHORS = _anchor_pattern(_RAW_TEXT + "|noscript")
 # Group 1 is a start tag without its "<", blank for any other token.
 _START_TAGS = (
     rf"(?is)<(?:{COMMENT}|{BOGUS_COMMENT}|/[a-z]{ATTRIBUTES}{CLOSE}"
@@ -91,7 +90,7 @@ def tag_attribute(tag: Column, name: str) -> Column:
 
 
 def visible_text(
-    html: Column, sep: str = "", names: Mapping[str, str] = COMMON_NAMES
+    html: Column, sep: str = "", names: Mapping[str, str] = ALL_NAMES
 ) -> Column:
     """Text of a page without scripts, styles, ``noscript`` parts, comments and tags.
 
@@ -107,10 +106,9 @@ def title_text(html: Column) -> Column:
     return decode_entities(F.regexp_extract(html, _TITLE, 1))
 
 
-def anchor_hrefs(html: Column, skip_noscript: bool = False) -> Column:
-    """``ARRAY<STRING>`` of the anchors' href values in document order."""
-    pattern = _ANCHORS_OUTSIDE_NOSCRIPT if skip_noscript else _ANCHORS
-    found = F.array_remove(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), "")
+def anchor_hrefs(html: Column) -> Column:
+    """``ARRAY<STRING>`` of the anchors' href values in document order; what ``noscript`` holds is text."""
+    found = F.array_remove(F.regexp_extract_all(html, F.lit(_ANCHORS), F.lit(2)), "")
     return F.transform(
         found,
         lambda href: decode_entities(

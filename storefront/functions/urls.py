@@ -24,6 +24,7 @@ _URL = (
     r"((?:[/\\?#][\s\S]*)?)$"
 )
 _DEFAULT_PORTS = ("http:80", "https:443", "ftp:21", "ws:80", "wss:443")
+_DOT = r"(?:\.|%2[eE])"
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 _OUTER = "".join(map(chr, range(1, 33)))
 
@@ -49,9 +50,32 @@ def _origin(parts: Column) -> Column:
     return F.concat(scheme, F.lit("://"), parts[1], F.lower(parts[2]), shown)
 
 
+def _resolved(path: Column) -> Column:
+    """A path from ``/`` on with its dot segments taken out, as a browser does."""
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    up = lambda s: s.rlike(rf"^{_DOT}{_DOT}$")
+    here = lambda s: s.rlike(rf"^{_DOT}$")
+
+    def step(kept: Column, segment: Column) -> Column:
+        back = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(up(segment), back).when(here(segment), kept).otherwise(F.concat(kept, F.array(segment)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    last = F.element_at(segments, -1)
+    return let(
+        kept,
+        lambda k: F.concat(
+            F.lit("/"), F.array_join(k, "/"), F.when((up(last) | here(last)) & (F.size(k) > 0), "/").otherwise("")
+        ),
+    )
+
+
 def _href(parts: Column) -> Column:
     slash = F.when(parts[4].rlike(r"^[/\\]"), "").otherwise("/")
-    return F.concat(_origin(parts), slash, parts[4])
+    rest = F.replace(F.concat(slash, parts[4]), F.lit(" "), F.lit("%20"))
+    path = F.regexp_extract(rest, r"^[^?#]*", 0)
+    dotted = F.concat(_resolved(path), F.substr(rest, F.length(path) + 1))
+    return F.concat(_origin(parts), F.when(path.rlike(rf"/{_DOT}{{1,2}}(/|$)"), dotted).otherwise(rest))
 
 
 def _key(parts: Column) -> Column:
@@ -85,8 +109,8 @@ def has_scheme(href: Column) -> Column:
 def url_join(base: Column, href: Column) -> Column:
     """An href made absolute against the URL of its page.
 
-    Dot segments (``../x``) are kept as written. Without a usable base the href
-    stays as it is.
+    Dot segments are taken out and blanks escaped, so it meets the URL under which
+    the page was captured. Without a usable base the href stays as it is.
     """
     against = let(
         _parts(base),

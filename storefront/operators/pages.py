@@ -104,11 +104,12 @@ def extract_contacts(
     keep: Sequence[str] = ("page_id", "url"),
 ) -> DataFrame:
     """``(*keep, email, one column per network)``: a narrow row per page, the HTML left behind."""
-    html = F.col("html")
-    return pages.select(
+    html, hrefs = F.col("html"), F.col("_hrefs")
+    read = pages.select(*keep, "html", anchor_hrefs(html).alias("_hrefs"))
+    return read.select(
         *keep,
-        first_email(html_emails(html, suffixes, parts)).alias("email"),
-        social_links(anchor_hrefs(html), networks, match).alias("_links"),
+        first_email(html_emails(html, suffixes, parts, hrefs=hrefs)).alias("email"),
+        social_links(hrefs, networks, match).alias("_links"),
     ).select(*keep, "email", "_links.*")
 
 

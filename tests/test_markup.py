@@ -61,15 +61,12 @@ def test_all_entity_names_are_opt_in(evaluate):
     texts = [f"x &{n} y" for n in names]
     every = lambda c: entities.decode_entities(c, names=entities.ALL_NAMES)
     assert evaluate(texts, every) == [stdlib_html.unescape(t) for t in texts]
-    common = [f"x &{n} y" for n in sorted(entities.COMMON_NAMES)[::5]]
-    assert evaluate(common, entities.decode_entities) == [stdlib_html.unescape(t) for t in common]
+    assert evaluate(texts, entities.decode_entities) == [stdlib_html.unescape(t) for t in texts]
 
 
 def test_anchor_hrefs(evaluate):
-    everywhere = ["/u?a=1&b=2&copy=3", "", "", "/unq/", "/adj", "/in-noscript"]
-    assert evaluate([HREF_PAGE, None, "<p>"], markup.anchor_hrefs) == [everywhere, None, []]
-    outside = lambda c: markup.anchor_hrefs(c, skip_noscript=True)
-    assert evaluate([HREF_PAGE], outside) == [everywhere[:-1]]
+    found = ["/u?a=1&b=2&copy=3", "", "", "/unq/", "/adj"]
+    assert evaluate([HREF_PAGE, None, "<p>"], markup.anchor_hrefs) == [found, None, []]
 
 
 def test_tag_attribute(evaluate):

@@ -91,6 +91,25 @@ def test_join(evaluate):
     assert evaluate(["/a"], lambda c: urls.url_join(F.lit(None).cast("string"), c)) == ["/a"]
 
 
+def test_dot_segments_and_blanks(evaluate):
+    join = lambda c: urls.url_join(F.lit("http://b.test/d/e/p?x=/../1"), c)
+    hrefs = ["../contact", "./c", "..", ".", "../../../up", "/a/./b/../c/", "a b?c d", "/x/..", "%2e%2E/q?y=../z", "...", "/.well", ""]
+    assert evaluate(hrefs, join) == [
+        "http://b.test/d/contact",
+        "http://b.test/d/e/c",
+        "http://b.test/d/",
+        "http://b.test/d/e/",
+        "http://b.test/up",
+        "http://b.test/a/c/",
+        "http://b.test/d/e/a%20b?c%20d",
+        "http://b.test/",
+        "http://b.test/d/q?y=../z",
+        "http://b.test/d/e/...",
+        "http://b.test/.well",
+        "http://b.test/d/e/p?x=/../1",
+    ]
+
+
 def test_contact_urls(spark):
     sites = spark.createDataFrame([("https://s.test/deep/p?q=1",), ("foo",), (None,)], "website string")
     rows = sorted((r.pri, r.contact_url) for r in contact_url_rows(sites).collect())
