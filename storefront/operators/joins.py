@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-
 
 def spread_join(
     rows: DataFrame,
@@ -16,17 +14,19 @@ def spread_join(
     on: Sequence[str],
     spread: Sequence[str],
     how: str = "left",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` to a narrow table with few rows per key, spreading each key.
 
     Where ``small`` passes Spark's broadcast size check nothing is shuffled.
-    Beyond it, the rows of a key go to ``salts`` tasks by a hash of ``spread``
-    and ``small`` is repeated that often, so a key with a third of all rows does
+    Beyond it, the rows of a key go to ``salts`` tasks (as many as a shuffle has
+    by default) by a hash of ``spread`` and ``small`` is repeated that often, so a key with a third of all rows does
     not end up in one task. ``how`` is ``left`` or ``inner``.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
+    if salts is None:
+        salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     repeated = small.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as _html
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -139,6 +140,7 @@ def parse_nodes(page: str, interest: Interest) -> list[dict]:
     texts: list[str] = []
     length = 0
     open_elements: list[tuple[str, dict | None]] = []
+    open_tags: Counter[str] = Counter()  # an end tag without an open partner costs one look
     count = 0
     keep_all = interest.everything
     is_likely = interest.likely().search
@@ -179,9 +181,14 @@ def parse_nodes(page: str, interest: Interest) -> list[dict]:
         if node is not None:
             node["last"], node["end"], node["text"] = count - 1, at, (node["text"], length)
 
+    def close_last(at: int) -> None:
+        tag, node = open_elements.pop()
+        open_tags[tag] -= 1
+        close(node, at)
+
     def close_to(depth: int, at: int) -> None:
         while len(open_elements) > depth:
-            close(open_elements.pop()[1], at)
+            close_last(at)
 
     position = 0
     for m in _TOKEN.finditer(page):
@@ -197,21 +204,21 @@ def parse_nodes(page: str, interest: Interest) -> list[dict]:
             close(node, position)
         elif m[2]:
             tag = m[2].lower()
-            for depth in range(len(open_elements) - 1, -1, -1):
-                if open_elements[depth][0] == tag:
-                    close_to(depth + 1, m.start())
-                    close(open_elements.pop()[1], position)
-                    break
+            if open_tags[tag]:
+                while open_elements[-1][0] != tag:
+                    close_last(m.start())
+                close_last(position)
         elif m[3]:
             tag = m[3].lower()
             ended = _ENDS_OPEN.get(tag, ())
             while open_elements and open_elements[-1][0] in ended:
-                close(open_elements.pop()[1], m.start())
+                close_last(m.start())
             node = start(tag, m[4], m.start())
             if tag in _VOID:
                 close(node, position)
             else:
                 open_elements.append((tag, node))
+                open_tags[tag] += 1
     rest = page[position:]
     add_text(_html.unescape(rest) if "&" in rest else rest)
     close_to(0, len(page))
