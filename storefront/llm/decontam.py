@@ -38,6 +38,7 @@ PIECE = 256
 LEAST = 40
 BLOCK_BYTES = 2_000_000
 TABLE_BITS = 22
+HALF_BITS = 34  # of a half band; a place has 8, which leaves 21 for a block's pieces
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,13 +130,13 @@ class Index:
         at, piece, place = self.hits(data)
         half = (at - place + PIECE) // (self.budget[piece] + 1)  # never below 0
         # piece, half band and place in one number; a place counts once
-        keys, _ = distinct((((piece << 40) | half) << 8) | place)
+        keys, _ = distinct((((piece << HALF_BITS) | half) << 8) | place)
         cells, count = distinct(keys >> 8)
         both = count.copy()
         if len(count) > 1:
             both[:-1] += np.where(cells[1:] == cells[:-1] + 1, count[1:], 0)
-        good = cells[both >= self.need[cells >> 40]]
-        return [(int(c >> 40), int(c & ((1 << 40) - 1))) for c in good]
+        good = cells[both >= self.need[cells >> HALF_BITS]]
+        return [(int(c >> HALF_BITS), int(c & ((1 << HALF_BITS) - 1))) for c in good]
 
     def diagonals(self, piece: int, band: int) -> tuple[int, int]:
         """The band's first and last diagonal, with room for the drift."""

@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|auth|(?:api|access|private)[_-]?key)"""
     r"""["'\]]?[\x20\t]{0,3}(?:=>|:=|[:=>]|\x20is\x20)[\x20\t]{0,3}"""
-    r"""(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>]+))""",
+    r"""(?:"([^"\n]{1,1000})"|'([^'\n]{1,1000})'|([^\s"'<>]+))""",
     re.ASCII | re.IGNORECASE,
 )
 #: A text without any of these (in lower case) has no credential context.

@@ -85,3 +85,10 @@ def test_tables(spark, items, odd_docs, no_docs):
     assert sorted(r["doc_id"] for r in drop_leaks(rows, bench).collect()) == [2, 3, 4]
     assert drop_leaks(odd_docs, bench).columns == odd_docs.columns and find_leaks(no_docs, bench).count() == 0
     assert find_leaks(rows, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_a_block_of_many_short_items():
+    rng = random.Random(8)
+    items = [(n, " ".join(f"{rng.randrange(10**6)}" for _ in range(7)).encode()) for n in range(40_000)]
+    index = Index(items)
+    assert index.search([b"x " + items[39_999][1] + b" y " + items[5][1], b"nothing"]) == [[5, 39_999], []]
