@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,16 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` written as a table of the shared folder and read again: as ``cut``, but the size is known from there on.
+
+    A join then sends a small table to the tasks instead of shuffling both sides.
+    """
+    folder = f"{shared_folder(rows.sparkSession)}/table-{uuid.uuid4()}"
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

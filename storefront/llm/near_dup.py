@@ -5,13 +5,15 @@
    ``B`` bits of each minimum. Documents with equal sets are one class from there
    on, so copies cost nothing.
 2. Classes that share a band key are candidates. A bucket is not expanded into
-   pairs: its members are held against a few pivots, first by bit counts of the
-   packed signatures (corrected for chance collisions, with room for the error of
-   the estimate), then, if that passes, by their full sets.
-3. Links join classes into components. Then the buckets whose other members still
-   lie in several components get more pivots, until none is left: every two
-   members of a bucket have been compared or are in one component. Pivots per
-   bucket grow from round to round, so there are few rounds and no cap.
+   pairs: its members are first held against one of them by bit counts of the packed
+   signatures, corrected for chance collisions. Those alike, with room for the error
+   of the estimate, are connected by it. In buckets that have others too, all members
+   are compared so. What is connected is a cluster.
+3. Within a cluster all full sets are compared.
+
+Both comparisons are dealt into blocks of bounded size: a task holds two blocks of
+one bucket or cluster, and sends on one row per member at most, for whom it is
+connected to. So neither rows nor a task grow with the square of a group.
 
 A pair at the threshold shares no band with probability (1 - 0.75^4)^32 < 1e-5.
 
@@ -23,16 +25,15 @@ are null; an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storefront.llm.common import cut, text_bytes
+from storefront.llm.common import stored, text_bytes
 from storefront.llm.hashing import mixed
 
 SHINGLE = 5
@@ -44,6 +45,9 @@ B = 2
 #: Estimates so much below the threshold still go on to the full sets: over five standard deviations.
 SLACK = 0.25
 BLOCK = 4096
+#: A task compares two blocks of about so many sets and shingles, or signatures.
+BLOCK_SETS, BLOCK_SHINGLES, BLOCK_SIGS = 512, 1 << 20, 1024
+COLUMNS = 4096
 SEEDS = np.random.default_rng(3).integers(0, 1 << 63, PERMS, np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = np.random.default_rng(4).integers(0, 1 << 63, PERMS, np.uint64)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -146,7 +150,8 @@ def row_key(text: Column) -> Column:
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``vid, shingles`` of the classes in ``wanted`` (vid, doc_id of one of its documents, digest)."""
     ids = wanted.select("vid", F.coalesce("doc_id", F.lit(LOST)).alias("_id"), F.col("digest").alias("_digest"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOST)).alias("_id"), "text").join(ids, "_id")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOST)).alias("_id"), "text")
+    texts = texts.join(ids.hint("merge"), "_id")  # the ids grow with the corpus: the same plan at every size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,98 +172,204 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.groupBy("vid").agg(F.first("shingles").alias("shingles"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets reach the threshold."""
-    left = sets.select(F.col("vid").alias("a"), F.col("shingles").alias("_a"))
-    right = sets.select(F.col("vid").alias("b"), F.col("shingles").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    either = F.size("_a") + F.size("_b") - both
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.where(both * 100 >= either * THRESHOLD).select("a", "b")
-
-
 def components(links: DataFrame) -> DataFrame:
     """``vid, comp``: the least vid reachable, for all vids with links.
 
-    Each round takes the least label among neighbours, then the label's label.
+    In each round every vid hooks to its least neighbour, hooks are followed to
+    their roots, and links are drawn between roots. Each round leaves half of the
+    vids that still have links at most, and a star is done after one.
     """
-    edges = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("vid")).agg(F.min(F.least("a", "b")).alias("comp")))
-    while True:
-        near = edges.join(labels, F.col("b") == F.col("vid")).groupBy("a").agg(F.min("comp").alias("near"))
-        stepped = labels.join(near, F.col("vid") == F.col("a"), "left").select(
-            "vid", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")
-        )
-        target = stepped.select(F.col("vid").alias("_v"), F.col("comp").alias("_c"))
-        after = cut(
-            stepped.join(target, F.col("comp") == F.col("_v"), "left").select(
-                "vid", "was", F.least("comp", "_c").alias("comp")
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    labels = None
+    while labels is None or not edges.isEmpty():
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = stored(ends.groupBy(F.col("a").alias("vid")).agg(F.min(F.least("a", "b")).alias("comp")))
+        while True:
+            up = roots.select(F.col("vid").alias("_v"), F.col("comp").alias("_up"))
+            jumped = stored(
+                roots.join(up, F.col("comp") == F.col("_v")).select("vid", F.col("_up").alias("comp"), (F.col("_up") != F.col("comp")).alias("_moved"))
             )
-        )
-        changed = after.where(F.col("was") != F.col("comp")).limit(1).count()
-        labels = after.drop("was")
-        if not changed:
-            return labels
+            roots = jumped.drop("_moved")
+            if jumped.where("_moved").isEmpty():
+                break
+        labels = roots if labels is None else stored(relabelled(labels, roots))
+        left = roots.select(F.col("vid").alias("a"), F.col("comp").alias("_a"))
+        right = roots.select(F.col("vid").alias("b"), F.col("comp").alias("_b"))
+        drawn = edges.join(left, "a").join(right, "b").where("_a != _b")
+        edges = stored(drawn.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    return labels
+
+
+def relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """``labels`` (vid, comp) with each comp replaced by what ``roots`` (vid, comp) has for it."""
+    to = roots.select(F.col("vid").alias("_v"), F.col("comp").alias("_to"))
+    return labels.join(to, F.col("comp") == F.col("_v"), "left").select("vid", F.coalesce("_to", "comp").alias("comp"))
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
-    """``vid, doc_id, digest, bands, sig``: one row per distinct set that is not empty."""
+    """``vid, doc_id, digest, n_shingles, bands, sig``: one row per distinct set that is not empty."""
     groups = signed.where("digest IS NOT NULL").groupBy("digest")
-    return cut(
-        groups.agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    return stored(
+        groups.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         .withColumn("vid", F.monotonically_increasing_id())
     )
 
 
-def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """``vid, comp`` of all classes with links; None if no two classes share a band."""
+def clusters(classes: DataFrame) -> DataFrame | None:
+    """``vid, comp`` of all classes that are alike by estimate to one that shares a band; None if none is."""
     placed = classes.select("vid", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("vid").alias("pivot")).where("n > 1")
-    members = cut(placed.join(shared.select("key", "pivot"), "key"))
-    wanted = members.select("vid").distinct()
-    if wanted.isEmpty():
-        return None
-    sets = cut(full_sets(docs, classes.join(wanted, "vid").select("vid", "doc_id", "digest")))
     sigs = classes.select("vid", "sig")
-    first = members.where("vid != pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")).distinct()
-    likely = (
-        first.join(sigs.select(F.col("vid").alias("a"), F.col("sig").alias("_a")), "a")
-        .join(sigs.select(F.col("vid").alias("b"), F.col("sig").alias("_b")), "b")
-        .where(estimate(F.col("_a"), F.col("_b")) >= THRESHOLD / 100 - SLACK)
-        .select("a", "b")
+    members = placed.join(shared, "key").where("vid != pivot").join(sigs, "vid")
+    pivots = sigs.select(F.col("vid").alias("pivot"), F.col("sig").alias("_p"))
+    close = estimate(F.col("sig"), F.col("_p")) >= THRESHOLD / 100 - SLACK
+    members = stored(members.join(pivots, "pivot").withColumn("close", close).drop("_p"))
+    links = members.where("close").select(F.col("vid").alias("a"), F.col("pivot").alias("b"))
+    # who is close to the pivot is connected by it; who is not meets all others of the bucket
+    several = members.where("NOT close").select("key").distinct()
+    rest = members.join(several, "key").select(
+        "key",
+        F.when(F.col("close"), F.col("pivot")).otherwise(F.col("vid")).alias("label"),
+        F.ceil((F.col("n") - 1) / BLOCK_SIGS).cast("int").alias("blocks"),
+        F.col("sig").alias("value"),
+        "vid",
     )
-    links = cut(linked(likely, sets))
-    labels = components(links)
-    rest = members.where("vid != pivot").select("key", "vid")
-    pivots = 1
-    while True:
-        pivots *= 8
-        known = rest.join(labels, "vid", "left").select("key", "vid", F.coalesce("comp", "vid").alias("comp"))
-        open_keys = known.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
-        open_keys = open_keys.where("_low < _high").select("key")
-        rest = cut(known.join(open_keys, "key").join(sigs, "vid"))
-        if rest.isEmpty():
-            return labels
-        chosen = rest.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy("vid"))).where(
-            F.col("_n") <= pivots
-        )
-        tables = chosen.groupBy("key").agg(F.collect_list(F.struct("vid", "comp", "sig")).alias("pivots"))
-        # a pivot meets the members after it, so that two pivots meet once
-        fits = F.filter(
-            "pivots",
-            lambda p: (p["vid"] < F.col("vid"))
-            & (p["comp"] != F.col("comp"))
-            & (estimate(p["sig"], F.col("sig")) >= THRESHOLD / 100 - SLACK),
-        )
-        pairs = (
-            rest.join(tables, "key")
-            .select(F.col("vid").alias("a"), F.explode(F.transform(fits, lambda p: p["vid"])).alias("b"))
-            .distinct()
-        )
-        links = cut(links.unionByName(linked(pairs, sets)))
-        labels = components(links)
-        last = tables.select("key", F.array_max(F.transform("pivots", lambda p: p["vid"])).alias("_last"))
-        rest = rest.join(last, "key").where(F.col("vid") > F.col("_last")).select("key", "vid")
+    rest = rest.withColumn("block", block_of("vid", "blocks")).drop("vid")
+    links = stored(links.unionByName(compared(rest, alike)).distinct())
+    return None if links.isEmpty() else components(links)
+
+
+def block_of(vid: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(vid), F.col(blocks)).cast("int")
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which packed signatures of ``left`` are alike by estimate to which of ``right`` (of ``left`` if None)."""
+    one = np.array(left, np.int64).view(np.uint64)
+    two = one if right is None else np.array(right, np.int64).view(np.uint64)
+    lane = np.uint64(int("01" * (64 // B), 2))
+    differ = np.zeros((len(one), len(two)), np.int16)
+    for word in range(one.shape[1]):
+        x = one[:, word, None] ^ two[None, :, word]
+        differ += np.bitwise_count((x | (x >> np.uint64(1))) & lane)
+    chance = 2.0**-B
+    return ((1.0 - differ / PERMS) - chance) / (1 - chance) >= THRESHOLD / 100 - SLACK
+
+
+def compared(rows: DataFrame, near: Callable[..., np.ndarray]) -> DataFrame:
+    """Pairs ``a, b`` of labels of one ``key`` that are connected where ``near`` tells for the ``value`` of each two.
+
+    ``rows`` has key, label, block (of ``blocks``) and value. Every two blocks of a key meet once.
+    """
+    pairs_of_blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "label", "value"
+    )
+
+    def compare(key: tuple[int, int, int], members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        _, low, high = key
+        left = [m for m in members if m[0] == low]
+        right = [m for m in members if m[0] != low]
+        labels = [m[1] for m in (*left, *right)]
+        if low == high:
+            table = near([m[2] for m in left])
+        elif left and right:
+            table = np.zeros((len(labels), len(labels)), bool)
+            table[: len(left), len(left) :] = near([m[2] for m in left], [m[2] for m in right])
+            table |= table.T
+        else:
+            return []
+        found = {(labels[i], labels[r]) for i, r in enumerate(forest(table).tolist())}
+        return [(a, b) for a, b in found if a != b]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by pair of blocks; one is held at a time
+        current, members, pairs = None, [], []
+
+        def found(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            sides = list(zip(*pairs)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in sides], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(n).to_pylist() for n in ("key", "low", "high"))))
+            block, label = batch.column("block").to_pylist(), batch.column("label").to_pylist()
+            for n, key in enumerate(keys):
+                if key != current:
+                    if len(members) > 1:
+                        pairs += compare(current, members)
+                    current, members = key, []
+                members.append((block[n], label[n], batch.column("value")[n].values.to_numpy().copy()))
+            if len(pairs) > 10_000:
+                yield found(pairs)
+                pairs = []
+        if len(members) > 1:
+            pairs += compare(current, members)
+        yield found(pairs)
+
+    parts = pairs_of_blocks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return parts.mapInArrow(work, "a long, b long").distinct()
+
+
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which sets of ``left`` reach the threshold with which of ``right`` (of ``left`` if None)."""
+    sets = left + (right or [])
+    sizes = np.array([len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+    column = np.cumsum(new) - 1
+    often = np.bincount(column) > 1  # a shingle of one set adds to no pair
+    column, owner = (np.cumsum(often) - 1)[column[often[column]]], owner[often[column]]
+    split = len(left)
+    both = np.zeros((split, len(right) if right else split), np.float32)
+    # columns are in order, so a slice of the entries is a slice of the columns
+    width = COLUMNS
+    edges = np.searchsorted(column, np.arange(0, int(column[-1]) + width + 1 if len(column) else 1, width))
+    for n, (start, end) in enumerate(zip(edges, edges[1:])):
+        table = np.zeros((len(sets), width), np.float32)
+        table[owner[start:end], column[start:end] - n * width] = 1
+        both += table[:split] @ (table[split:] if right else table).T
+    either = sizes[:split, None] + (sizes[split:] if right else sizes)[None, :] - both
+    return 100 * both >= THRESHOLD * either
+
+
+def forest(near: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric table of links, the first row it is connected to."""
+    root = np.full(len(near), -1)
+    for start in range(len(near)):
+        if root[start] < 0:
+            reached = np.zeros(len(near), bool)
+            reached[start] = True
+            fresh = np.array([start])
+            while len(fresh):
+                found = near[fresh].any(axis=0) & ~reached
+                reached |= found
+                fresh = np.flatnonzero(found)
+            root[reached] = start
+    return root
+
+
+def confirmed(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of classes connected by links that their full sets confirm."""
+    sized = classes.join(labels, "vid").select("vid", "comp", "doc_id", "digest", "n_shingles")
+    totals = sized.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = sized.join(totals.select("comp", blocks.alias("blocks")), "comp").select(
+        "vid", F.col("comp").alias("key"), "doc_id", "digest", "blocks", block_of("vid", "blocks").alias("block")
+    )
+    dealt = stored(dealt)
+    sets = full_sets(docs, dealt.select("vid", "doc_id", "digest")).withColumnRenamed("shingles", "value")
+    return compared(dealt.select("vid", "key", "block", "blocks").join(sets, "vid").withColumnRenamed("vid", "label"), linked)
+
+
+def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """``vid, comp`` of all classes with confirmed links; None if there are none."""
+    labels = clusters(classes)
+    if labels is None:
+        return None
+    links = stored(confirmed(docs, classes, labels))
+    return None if links.isEmpty() else components(links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -266,14 +377,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ``component_id`` is the least ``doc_id`` that can be reached over links.
     """
-    signed = cut(signatures(docs))
+    signed = stored(signatures(docs))
     classes = classes_of(signed)
     labels = class_components(docs, classes)
     known = classes.select("vid", "digest", F.col("doc_id").alias("_least"))
     if labels is None:
         owned = known.select("digest", F.col("_least").alias("component_id"))
     else:
-        known = cut(known.join(labels, "vid", "left").withColumn("comp", F.coalesce("comp", "vid")))
+        known = stored(known.join(labels, "vid", "left").withColumn("comp", F.coalesce("comp", "vid")))
         least = known.groupBy("comp").agg(F.min("_least").alias("component_id"))
         owned = known.join(least, "comp").select("digest", "component_id")
     rows = signed.select("doc_id", "row_key", "n_shingles", "digest").join(owned, "digest", "left")
@@ -289,6 +400,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that a component's first document stands for."""
-    gone = cut(near_duplicates(docs).where("NOT kept").select("doc_id", "row_key").distinct())
+    gone = stored(near_duplicates(docs).where("NOT kept").select("doc_id", "row_key").distinct())
     same = docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (row_key(docs["text"]) == gone["row_key"])
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone.hint("merge"), same, "left_anti")
