@@ -30,10 +30,11 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Linear on any text: a value is read up to the next quote or line end, where the next one starts.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|auth|(?:api|access|private)[_-]?key)"""
-    r"""["'\]]?[\x20\t]{0,3}(?:=>|:=|[:=>]|\x20is\x20)[\x20\t]{0,3}"""
-    r"""(?:"([^"\n]{1,1000})"|'([^'\n]{1,1000})'|([^\s"'<>]+))""",
+    r"""["'\]]?[\x20\t]*+(?:=>|:=|[:=>]|(?<=\x20)is\x20)[\x20\t]*+"""
+    r"""(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"'<>]+))""",
     re.ASCII | re.IGNORECASE,
 )
 #: A text without any of these (in lower case) has no credential context.
