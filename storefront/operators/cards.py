@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storefront.functions.binding import let
 from storefront.functions.markup import start_tags, tag_attribute
+from storefront.functions.text import utrim
 from storefront.operators.nodes import Sel, html_nodes, interest_of, select_nodes
 
 # What a listing card looks like, the most reliable first.
@@ -18,6 +19,8 @@ CARD_SELS = (
     Sel(classes=("cXedhc",)),
     Sel(attrs=(("data-rc", "has", ""),)),
 )
+# The elements of a result page that the last name rule counts.
+PAGE_NAME_SELS = (Sel(classes=("OSrXXb",)),)
 
 
 def has_card(html: Column, sels: Sequence[Sel] = CARD_SELS) -> Column:
@@ -83,15 +86,22 @@ def listing_cards(
     page: str = "page_no",
     sels: Sequence[Sel] = CARD_SELS,
     keep: Sequence[str] = (),
+    names: Sequence[Sel] = (),
 ) -> DataFrame:
     """``(*by, page, idx, pri, *keep, card_html)``: the cards of each result in page order.
 
     Per page the first description with any hit counts (``pri``, from 1), and
-    ``idx`` numbers its cards from 0.
+    ``idx`` numbers its cards from 0. With ``names``, two columns follow: how many
+    such elements the whole page holds (``page_names``), and the text of the
+    ``idx``-th of them (``page_name``), null if there are fewer.
     """
     kept = pages_in_result(pages, by, page, sels)
-    nodes = html_nodes(F.col("html"), interest_of(sels)).alias("_nodes")
+    nodes = html_nodes(F.col("html"), interest_of([*sels, *names])).alias("_nodes")
     parsed = kept.select(*by, page, *keep, "html", nodes)
+    if names:  # once per page, below the cards
+        texts = F.transform(select_nodes("_nodes", names), lambda n: utrim(n["text"]))
+        parsed = parsed.select("*", texts.alias("_names"))
+    carried = ["_names"] if names else []
 
     def chosen(nodes: str) -> Column:
         case = None
@@ -104,7 +114,7 @@ def listing_cards(
         return case
 
     found = F.posexplode(chosen("_nodes")).alias("idx", "_card")
-    cards = parsed.select(*by, page, *keep, "html", found)
+    cards = parsed.select(*by, page, *keep, *carried, "html", found)
     size = F.col("_card.end") - F.col("_card.beg")
     return cards.select(
         *by,
@@ -113,20 +123,26 @@ def listing_cards(
         F.col("_card.pri").alias("pri"),
         *keep,
         F.substr("html", F.col("_card.beg") + 1, size).alias("card_html"),
+        *(F.get(names, F.col("idx")).alias("page_name") for names in carried),
+        *(F.size(names).alias("page_names") for names in carried),
     )
 
 
-def listings_of(result_pages: DataFrame, panels: DataFrame) -> DataFrame:
+def listings_of(
+    result_pages: DataFrame, panels: DataFrame, names: Sequence[Sel] = ()
+) -> DataFrame:
     """The ``listings`` table from captures of result pages and of detail panels.
 
     ``result_pages`` holds ``query_ord, page_no, url, html`` and ``panels`` holds
     ``query_ord, page_no, idx, panel_html``. A card without a panel stays. The
-    key of a card is unique, so no key is hot.
+    key of a card is unique, so no key is hot. With ``names`` (``PAGE_NAME_SELS``)
+    the columns ``page_name`` and ``page_names`` follow, by which the last name
+    rule counts over the whole result page.
     """
     keys = ["query_ord", "page_no", "idx"]
-    cards = listing_cards(result_pages, keep=["url"])
+    cards = listing_cards(result_pages, keep=["url"], names=names)
     return cards.join(panels.select(*keys, "panel_html"), keys, "left").select(
-        *keys, "url", "card_html", "panel_html"
+        *keys, "url", "card_html", "panel_html", *(["page_name", "page_names"] if names else [])
     )
 
 

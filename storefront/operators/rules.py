@@ -110,7 +110,7 @@ class Rule:
     ``take`` is ``each`` (every matching element is a candidate), ``first``
     (only the first one, even if its value is blank), ``first_kind`` (the first
     element of the first description that has any) or ``nth`` (the element at
-    the position of the listing on its page).
+    the position of the listing, counted over its result page and then its panel).
     """
 
     field: str
@@ -220,7 +220,7 @@ def _hits(rule: Rule, nodes: str, position: Column) -> Column:
     if rule.take == "first":
         return F.slice(matching, 1, 1)
     if rule.take == "nth":
-        return F.slice(matching, position + 1, 1)
+        return F.filter(matching, lambda node, at: at == position)
     if rule.take == "first_kind":
         firsts = [F.slice(select_nodes(nodes, (sel,)), 1, 1) for sel in rule.sels]
         result = firsts[-1]
@@ -248,6 +248,18 @@ def candidate_array(nodes: str, rules: Sequence[Rule], position: Column) -> Colu
     return F.concat(*(found(rule) for rule in rules))
 
 
+def _of_page(rule: Rule) -> Column:
+    """The candidate that the listing carries from its result page; blank if none."""
+    return F.array(
+        F.struct(
+            F.lit(rule.field).alias("field"),
+            F.lit(rule.pri).alias("pri"),
+            F.lit(-1).alias("pos"),
+            F.coalesce(F.col("_on_page"), F.lit("")).alias("value"),
+        )
+    )
+
+
 def pick_first(candidates: Column, field: str) -> Column:
     """First non-blank value of a field by priority, then position; never null."""
     usable = F.filter(candidates, lambda c: (c["field"] == field) & (c["value"] != ""))
@@ -283,14 +295,21 @@ def listing_fields(
 ) -> DataFrame:
     """One row per listing: its keys and one column per field, blank if not found.
 
-    Expects the captured ``card_html`` and ``panel_html`` of each listing. Every
-    listing is parsed and decided on its own row: no shuffle.
+    Expects the captured ``card_html`` and ``panel_html`` of each listing, and, for
+    the rules that count over the result page, its ``page_name`` and ``page_names``
+    (``listings_of``); without these they count in the panel alone. Every listing
+    is parsed and decided on its own row: no shuffle.
     """
     scopes = {scope: [r for r in rules if r.scope == scope] for scope in (_CARD, _PANEL)}
+    if {"page_name", "page_names"} <= set(listings.columns):
+        on_page, before = F.col("page_name"), F.coalesce(F.col("page_names"), F.lit(0))
+    else:
+        on_page, before = F.lit(None).cast("string"), F.lit(0)
     parsed = listings.select(
         *keys,
         F.col(url).alias("_url"),
-        F.col(idx).alias("_idx"),
+        (F.col(idx) - before).alias("_nth"),
+        on_page.alias("_on_page"),
         *(
             html_nodes(F.col(f"{scope}_html"), rules_interest(scoped)).alias(f"_{scope}")
             for scope, scoped in scopes.items()
@@ -299,10 +318,11 @@ def listing_fields(
     parsed = settled(parsed)
     found = F.concat(
         *(
-            candidate_array(f"_{scope}", scoped, F.col("_idx"))
+            candidate_array(f"_{scope}", scoped, F.col("_nth"))
             for scope, scoped in scopes.items()
             if scoped
-        )
+        ),
+        *(_of_page(rule) for rule in rules if rule.take == "nth"),
     )
     fields = list(dict.fromkeys(rule.field for rule in rules))
     picked = parsed.select(*keys, "_url", found.alias("_found")).select(

@@ -53,7 +53,8 @@ def build_directory(
 ) -> DataFrame:
     """``(query_ord, page_no, idx, nine business fields)``, at most ``limit`` per query.
 
-    ``listings`` holds ``query_ord, page_no, idx, url, card_html, panel_html``,
+    ``listings`` holds ``query_ord, page_no, idx, url, card_html, panel_html``, and
+    ``page_name, page_names`` if it knows its result pages (``listings_of``),
     ``pages`` holds ``page_id, url, html``. ``limit_mode`` is ``page`` (a card
     that fails is not replaced on its page) or ``rows`` (the first ``limit``
     cards with a name). Duplicates are dropped after the limit, before the

@@ -33,6 +33,14 @@ LISTINGS = T.StructType(
         T.StructField("panel_html", T.StringType()),
     ]
 )
+# With what the last name rule reads of the result page; null where a table has no such columns.
+NAMED_LISTINGS = T.StructType(
+    [
+        *LISTINGS.fields,
+        T.StructField("page_name", T.StringType()),
+        T.StructField("page_names", T.IntegerType()),
+    ]
+)
 
 
 def read_captures(

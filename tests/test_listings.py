@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storefront.operators import nodes as node_ops
-from storefront.operators.cards import has_card, listing_cards, listings_of, pages_in_result
+from storefront.operators.cards import PAGE_NAME_SELS, has_card, listing_cards, listings_of, pages_in_result
 from storefront.operators.nodes import Interest, Sel, parse_nodes
 from storefront.operators.rules import LISTING_RULES, listing_fields, pick_first_rows, tel_value
 
@@ -247,6 +247,52 @@ def test_listings_from_pages_and_panels(spark):
     ]
 
 
+def _named(spark, html, panels):
+    """Names by idx of the directory made of one result page and its panels."""
+    from storefront.plans.directory import build_directory
+    from storefront.sources.captures import PAGES
+
+    keys = "query_ord int, page_no int, idx int, panel_html string"
+    opened = spark.createDataFrame([(0, 0, idx, panel) for idx, panel in panels.items()], keys)
+    listings = listings_of(_pages(spark, [(0, 0, html)]), opened, PAGE_NAME_SELS)
+    rows = build_directory(listings, spark.createDataFrame([], PAGES), with_contacts=False)
+    return {r.idx: r.name for r in rows.collect()}
+
+
+def test_the_last_name_rule_counts_over_the_result_page(spark):
+    names = "".join(f'<h3 class="dbg0pd"><i class="OSrXXb"> Name {i} </i></h3>' for i in range(3))
+    bare = '<p class="VkpGBb">card</p>' * 3
+    own = {i: f'<i class="OSrXXb">Panel {i}</i>' for i in range(3)}
+    # Three cards without a name, names elsewhere in the page.
+    every = {0: "Name 0", 1: "Name 1", 2: "Name 2"}
+    assert _named(spark, bare + names, {i: "<p>x</p>" for i in range(3)}) == every
+    assert _named(spark, names + bare, {}) == every
+    # Each panel holds its one name: the page counts first.
+    assert _named(spark, bare + names, own) == every
+    # After the names of the page the count goes on in the panel.
+    assert _named(spark, bare + '<i class="OSrXXb">Name 0</i><i class="OSrXXb">Name 1</i>', own) == {
+        0: "Name 0", 1: "Name 1", 2: "Panel 2",
+    }
+    assert _named(spark, bare, own) == {0: "Panel 0"}
+    # An element that is there but blank gives no name; the rules before win.
+    assert _named(spark, bare + '<i class="OSrXXb"> </i>' * 3, own) == {}
+    titled = {1: '<h2 data-attrid="title">Titled</h2>'}
+    assert _named(spark, bare + names, titled) == every | {1: "Titled"}
+
+
+def test_listings_of_a_table_with_and_without_page_names(spark, tmp_path):
+    from storefront.sources.captures import LISTINGS, NAMED_LISTINGS, read_captures
+
+    rows = [(0, 0, 0, URL, None, '<i class="OSrXXb">Only</i>')]
+    spark.createDataFrame(rows, LISTINGS).write.parquet(str(tmp_path / "old"))
+    spark.createDataFrame([(*rows[0], "Page", 1)], NAMED_LISTINGS).write.parquet(str(tmp_path / "new"))
+    found = [
+        listing_fields(read_captures(spark, str(tmp_path / name), NAMED_LISTINGS), ["idx"]).first()["name"]
+        for name in ("old", "new")
+    ]
+    assert found == ["Only", "Page"]
+
+
 def test_flag_agrees_with_the_parser(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for sels in ((Sel("a", attrs=(("href", "*=", "è"),)),), (Sel("div", classes=("ad",)),), (Sel("h4"),)):
