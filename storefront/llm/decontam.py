@@ -9,20 +9,24 @@ an alignment that keeps to its diagonals. The filter loses none.
 
 Texts are compared in lower case (A-Z) and with any run of white space as one
 space; edits count in bytes of UTF-8. Items over ``PIECE`` bytes are searched in
-pieces that overlap by half; items under ``LEAST`` bytes after that are too common
-to count as leaks and are not searched.
+pieces that overlap by half; items under ``LEAST`` bytes after that are searched
+whole, without edits and on word bounds, by all their q-grams, and those of less
+than a q-gram by their bytes.
 
 The benchmark may be of any size: its items are dealt into blocks of bounded bytes,
 and each block's index, whose size is so bounded, goes to the tasks; texts are read
 once for all blocks and never shuffled.
 
-Defined cases: a null or empty text has no items; null items are not searched;
+Defined cases: a null or empty text has no items; null items and items of white
+space alone are not searched;
 equal items are all named; an empty benchmark finds nothing; only ``doc_id`` and
 ``text`` are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
@@ -61,19 +65,45 @@ def q_grams(data: bytes) -> np.ndarray:
     return np.ndarray((len(data) - Q + 1,), "<u8", data, 0, (1,))
 
 
+def joins(char: str) -> bool:
+    """Whether a word goes on at this character; scripts without blanks have no such bounds."""
+    return (char.isalnum() or char == "_") and not (
+        char >= "\u2e80" or "\u0e00" <= char <= "\u0eff" or "\u1000" <= char <= "\u109f" or "\u1780" <= char <= "\u17ff"
+    )
+
+
+def on_bounds(text: bytes, start: int, end: int) -> bool:
+    """Whether no word goes on over the ends of ``text[start:end]``."""
+    for at in (start, end):
+        before = text[max(0, at - 4) : at].decode(errors="ignore")[-1:]
+        after = text[at : at + 4].decode(errors="ignore")[:1]
+        if before and after and joins(before) and joins(after):
+            return False
+    return True
+
+
 class Index:
     """Where each q-gram occurs in the pieces of one block of items."""
 
     def __init__(self, items: list[tuple[int, bytes]], edits: float = EDITS) -> None:
         self.items, self.pieces = [], []
+        tiny: dict[bytes, list[int]] = {}
         for item, text in sorted(items):
             for piece in pieces_of(normal(text)):
-                if len(piece) >= LEAST:
+                if len(piece) >= Q:
                     self.items.append(item)
                     self.pieces.append(piece)
+                elif piece:
+                    tiny.setdefault(piece, []).append(item)
+        # items of less than a q-gram: for each length their codes in order, and their ids
+        self.tiny: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        for size in {len(piece) for piece in tiny}:
+            coded = sorted((int.from_bytes(p, "little"), ids) for p, ids in tiny.items() if len(p) == size)
+            self.tiny[size] = np.array([c for c, _ in coded], np.uint64), [ids for _, ids in coded]
         lengths = np.array([len(p) for p in self.pieces], np.int64)
         # a larger budget would leave no q-gram to count
         self.budget = np.minimum((lengths * edits).astype(np.int64), (lengths - Q) // Q)
+        self.budget[lengths < LEAST] = 0
         self.need = np.maximum(lengths + 1 - Q - self.budget * Q, 1)
         grams = [q_grams(p) for p in self.pieces]
         codes = np.concatenate([np.zeros(0, np.uint64), *grams])
@@ -108,13 +138,19 @@ class Index:
     def search(self, texts: list[bytes]) -> list[list[int]]:
         """For each text, the items found in it, in order."""
         out: list[list[int]] = [[] for _ in texts]
-        if not self.pieces:
+        if not self.pieces and not self.tiny:
             return out
         plain = [normal(t) for t in texts]
         for first, last in chunks(plain):
             part = plain[first:last]
             data = b"\x00".join(part)
             starts = np.cumsum([0, *(len(t) + 1 for t in part)])
+            for at, size, found in self.tiny_hits(data):
+                d = int(np.searchsorted(starts, at, side="right")) - 1
+                begin, known = at - int(starts[d]), out[first + d]
+                new = [item for item in found if item not in known]
+                if new and begin + size <= len(part[d]) and on_bounds(part[d], begin, begin + size):
+                    known.extend(dict.fromkeys(new))
             for piece, band in self.regions(data):
                 low, high = self.diagonals(piece, band)
                 docs = np.searchsorted(starts, [max(low, 0), high + len(self.pieces[piece])], side="right") - 1
@@ -125,6 +161,16 @@ class Index:
                         out[first + d].append(item)
         return [sorted(found) for found in out]
 
+    def tiny_hits(self, data: bytes) -> Iterator[tuple[int, int, list[int]]]:
+        """Position, length and ids of all items of less than a q-gram in ``data``."""
+        grams = q_grams(data + b"\x00" * (Q - 1)) if self.tiny else None
+        for size, (codes, ids) in self.tiny.items():
+            cut = grams & np.uint64((1 << 8 * size) - 1)
+            entry = np.minimum(np.searchsorted(codes, cut), len(codes) - 1)
+            at = np.flatnonzero(codes[entry] == cut)
+            for position, n in zip(at.tolist(), entry[at].tolist()):
+                yield position, size, ids[n]
+
     def regions(self, data: bytes) -> list[tuple[int, int]]:
         """Pieces and diagonal bands in which enough places of the piece are shared."""
         at, piece, place = self.hits(data)
@@ -146,6 +192,11 @@ class Index:
     def verify(self, text: bytes, piece: int, low: int, high: int) -> bool:
         """Whether the piece is within its budget of some stretch on these diagonals."""
         pattern, budget = self.pieces[piece], int(self.budget[piece])
+        if len(pattern) < LEAST:
+            at = text.find(pattern, max(0, low), max(0, high + len(pattern)))
+            while at >= 0 and not on_bounds(text, at, at + len(pattern)):
+                at = text.find(pattern, at + 1, max(0, high + len(pattern)))
+            return at >= 0
         if pattern in text[max(0, low) : max(0, high + len(pattern))]:
             return True
         return banded_distance(pattern, text, low, high, budget) <= budget

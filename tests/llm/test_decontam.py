@@ -92,3 +92,73 @@ def test_a_block_of_many_short_items():
     items = [(n, " ".join(f"{rng.randrange(10**6)}" for _ in range(7)).encode()) for n in range(40_000)]
     index = Index(items)
     assert index.search([b"x " + items[39_999][1] + b" y " + items[5][1], b"nothing"]) == [[5, 39_999], []]
+
+
+SHORT = {
+    1: "What is the capital of Burkina Faso",
+    2: "Name a noble gas.",
+    3: "12 x 12",
+    4: "tiny",
+    5: "東京の人口は",
+    6: "a\u00e9b",
+    7: "What is the capital of Burkina Faso",
+    8: " \n ",
+    9: "",
+    10: "exactly eight and thirty-nine bytes ok.",
+    11: "eightby8",
+}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("He asked: WHAT is the\n\tcapital of Burkina  Faso? Nobody knew.", [1, 7]),
+        ("What is the capital of Burkina Faso", [1, 7]),
+        ("What is the capitol of Burkina Faso", []),
+        ("What is the capital of Burkina Fasos", []),
+        ("xWhat is the capital of Burkina Faso, What is the capital of Burkina Faso", [1, 7]),
+        ("(name a noble gas.)", [2]),
+        ("rename a noble gas.", []),
+        ("say 12 x 12 = 144, tiny", [3, 4]),
+        ("12 x 120 tinyness 112 x 12", []),
+        ("今日、東京の人口はいくつ", [5]),
+        ("aéb", [6]),
+        ("éaéb aébé", []),
+        ("exactly eight and thirty-nine bytes ok.", [10]),
+        ("eightby8", [11]),
+        ("eightby80", []),
+        ("", []),
+    ],
+)
+def test_short_items_are_searched_whole(text, want):
+    index = Index([(n, t.encode()) for n, t in SHORT.items()])
+    assert index.search([text.encode()]) == [want]
+    assert index.search([b"x", text.encode(), b"y"]) == [[], want, []]
+
+
+def test_short_items_do_not_reach_over_texts():
+    index = Index([(1, b"ab cd"), (2, b"what is the time")])
+    assert index.search([b"ab", b"cd", b"what is", b"the time"]) == [[]] * 4
+    assert Index([(1, b"a\x00"), (2, b"x")]).search([b"a", b"x"]) == [[], [2]]
+
+
+def test_short_items_of_one_id_are_all_named():
+    index = Index([(-1, b"tiny"), (-1, b"small"), (5, b"small")])
+    assert index.search([b"tiny and small", b"small"]) == [[-1, 5], [-1, 5]]
+
+
+def test_short_items_equal_a_plain_search():
+    rng = random.Random(9)
+    words = ["be", "or", "not", "to", "gamma", "delta", "question"]
+    items = {n: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for n in range(80)}
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(60)]
+    index = Index([(n, t.encode()) for n, t in items.items() if len(t) < 40])
+    want = [[n for n, t in items.items() if len(t) < 40 and f" {t} " in f" {text} "] for text in texts]
+    assert index.search([t.encode() for t in texts]) == want
+
+
+def test_a_short_question_copied_is_a_leak(spark):
+    bench = spark.createDataFrame([(1, SHORT[1])], "item_id long, text string")
+    rows = spark.createDataFrame([(1, f"so: {SHORT[1]}?"), (2, "nothing")], "doc_id long, text string")
+    assert {r["doc_id"]: r["item_ids"] for r in find_leaks(rows, bench).collect()} == {1: [1], 2: []}
+    assert [r["doc_id"] for r in drop_leaks(rows, bench).collect()] == [2]
