@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storefront.llm.archives import MIN_REVISIT, archive_round_trip
 from storefront.llm.byte_repeats import remove_repeated_bytes
 from storefront.llm.decontam import find_leaks
+from storefront.llm.licenses import scan_licenses
 from storefront.llm.mixing import mix
 from storefront.llm.near_dup import near_duplicates
 from storefront.llm.order_minhash import as_text, fingerprints, likeness
@@ -79,6 +80,21 @@ def op10_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = scan_licenses(_table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+        "n_found",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_spans": op1_secret_spans,
     "op2_benchmark_leaks": op2_benchmark_leaks,
@@ -90,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_rules": op8_url_rules,
     "op9_importance_resample": op9_importance_resample,
     "op10_arc_to_warc": op10_arc_to_warc,
+    "op13_license_rules": op13_license_rules,
 }
 
 
