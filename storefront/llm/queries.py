@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storefront.llm.archives import MIN_REVISIT, archive_round_trip
 from storefront.llm.byte_repeats import remove_repeated_bytes
+from storefront.llm.conversation_trie import FORKS, SHARED_TURNS, forked_trie
 from storefront.llm.decontam import find_leaks
 from storefront.llm.licenses import scan_licenses
 from storefront.llm.mixing import mix
@@ -80,6 +81,10 @@ def op10_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_peeled_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return forked_trie(_table(spark, folder, "conversations")).drop("n_ends", "bytes", "k1", "k2")
+
+
 def op13_license_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = scan_licenses(_table(spark, folder, "documents"))
     return rows.select(
@@ -106,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_rules": op8_url_rules,
     "op9_importance_resample": op9_importance_resample,
     "op10_arc_to_warc": op10_arc_to_warc,
+    "op12_peeled_trie": op12_peeled_trie,
     "op13_license_rules": op13_license_rules,
 }
 
@@ -153,4 +159,46 @@ _ARCHIVE_SQL = f"""
     FROM bytes LEFT JOIN kept USING (payload_digest)
 """
 
-ORACLES: dict[str, str] = {"op8_url_rules": _url_sql(), "op10_arc_to_warc": _ARCHIVE_SQL}
+#: CRC-32, bit by bit: a character is one step, and eight steps shift it out.
+_CRC = """
+    xor(list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(
+            string_split(conv_id::VARCHAR, ''), lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+                            WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END
+    ), 4294967295)
+"""
+
+#: Prefixes as lists of turns; a node adds to every prefix of its own.
+_TRIE_SQL = f"""
+    WITH convs AS (
+        SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+                             ORDER BY turn NULLS FIRST, coalesce(role, '')) AS turns, {_CRC} % {SHARED_TURNS} AS h
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ), rebuilt AS (
+        SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS t
+        FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % {FORKS}
+    ), members AS (
+        SELECT conv_id, len(t) AS n, t, unnest(range(0, len(t) + 1)) AS depth FROM rebuilt
+    ), nodes AS (
+        SELECT depth, t[1:depth] AS seq, min(conv_id) AS conv_id, count(*) AS n_convs,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '')) AS ends_sha256
+        FROM members GROUP BY ALL
+    ), families AS (
+        SELECT u.depth - 1 AS depth, u.seq[1:u.depth - 1] AS seq, count(*) AS n_children
+        FROM nodes u WHERE u.depth > 0 GROUP BY ALL
+    ), whole AS (
+        SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN families USING (depth, seq)
+    ), lines AS (
+        SELECT (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE strlen(seq[depth].text) END AS saved,
+            n_children = 0 AS leaf, seq, unnest(range(0, depth + 1)) AS above FROM whole
+    ), sums AS (
+        SELECT above AS depth, seq[1:above] AS seq, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+        FROM lines GROUP BY ALL
+    )
+    SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+    FROM whole w JOIN sums s USING (depth, seq)
+    LEFT JOIN nodes p ON p.depth = w.depth - 1 AND p.seq = w.seq[1:w.depth - 1]
+"""
+
+ORACLES: dict[str, str] = {"op8_url_rules": _url_sql(), "op10_arc_to_warc": _ARCHIVE_SQL, "op12_peeled_trie": _TRIE_SQL}
