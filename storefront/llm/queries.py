@@ -17,6 +17,7 @@ from storefront.llm.near_dup import near_duplicates
 from storefront.llm.order_minhash import as_text, fingerprints, likeness
 from storefront.llm.quality import resample
 from storefront.llm.secrets import scan_secrets
+from storefront.llm.token_align import align_tokenizers
 from storefront.llm.word_repeats import remove_repeats
 from storefront.llm.urls import GLOB_RULES, HOST_RULES, judge_urls
 
@@ -81,6 +82,10 @@ def op10_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_token_incidence(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokenizers(_table(spark, folder, "documents"))
+
+
 def op12_peeled_trie(spark: SparkSession, folder: str) -> DataFrame:
     return forked_trie(_table(spark, folder, "conversations")).drop("n_ends", "bytes", "k1", "k2")
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_rules": op8_url_rules,
     "op9_importance_resample": op9_importance_resample,
     "op10_arc_to_warc": op10_arc_to_warc,
+    "op11_token_incidence": op11_token_incidence,
     "op12_peeled_trie": op12_peeled_trie,
     "op13_license_rules": op13_license_rules,
 }
