@@ -20,7 +20,8 @@ A pair at the threshold shares no band with probability (1 - 0.75^4)^32 < 1e-5.
 Defined cases: null, empty or blank texts have an empty set and are linked with
 nothing; texts of fewer words than a shingle count as one shingle; rows with equal
 ``doc_id`` are rows of their own; a null ``doc_id`` is a component's id only if all
-are null; an empty table gives no rows; extra columns are not read.
+are null; an empty table gives no rows; extra columns are not read. ``keep_one`` keeps
+one row of a component whatever ids and repeats it has.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storefront.llm.common import stored, text_bytes
@@ -147,11 +148,15 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def _known_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(LOST))
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``vid, shingles`` of the classes in ``wanted`` (vid, doc_id of one of its documents, digest)."""
-    ids = wanted.select("vid", F.coalesce("doc_id", F.lit(LOST)).alias("_id"), F.col("digest").alias("_digest"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOST)).alias("_id"), "text")
-    texts = texts.join(ids.hint("merge"), "_id")  # the ids grow with the corpus: the same plan at every size
+    """``vid, shingles`` of the classes in ``wanted`` (vid, row: id and text hash of one of its documents, digest)."""
+    ids = wanted.select("vid", F.col("row._id").alias("_id"), F.col("row.row_key").alias("_key"), F.col("digest").alias("_digest"))
+    texts = docs.select(_known_id(F.col("doc_id")).alias("_id"), row_key(F.col("text")).alias("_key"), "text")
+    texts = texts.join(ids.hint("merge"), ["_id", "_key"])  # the ids grow with the corpus: the same plan at every size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +165,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for vid, digest, text in zip(
                     batch.column("vid").to_pylist(), batch.column("_digest").to_pylist(), text_bytes(batch.column("text"))
                 )
-                # another row may share the id
+                # another text may share the hash
                 if xxhash.xxh3_128_digest((shingles := shingle_set(text)).tobytes()) == digest
             ]
             yield pa.RecordBatch.from_arrays(
@@ -207,10 +212,11 @@ def relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
-    """``vid, doc_id, digest, n_shingles, bands, sig``: one row per distinct set that is not empty."""
+    """``vid, doc_id, row, digest, n_shingles, bands, sig``: one row per distinct set that is not empty."""
     groups = signed.where("digest IS NOT NULL").groupBy("digest")
+    row = F.struct(_known_id(F.col("doc_id")).alias("_id"), "row_key")
     return stored(
-        groups.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        groups.agg(F.min("doc_id").alias("doc_id"), F.min(row).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         .withColumn("vid", F.monotonically_increasing_id())
     )
 
@@ -352,14 +358,14 @@ def forest(near: np.ndarray) -> np.ndarray:
 
 def confirmed(docs: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of classes connected by links that their full sets confirm."""
-    sized = classes.join(labels, "vid").select("vid", "comp", "doc_id", "digest", "n_shingles")
+    sized = classes.join(labels, "vid").select("vid", "comp", "row", "digest", "n_shingles")
     totals = sized.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = sized.join(totals.select("comp", blocks.alias("blocks")), "comp").select(
-        "vid", F.col("comp").alias("key"), "doc_id", "digest", "blocks", block_of("vid", "blocks").alias("block")
+        "vid", F.col("comp").alias("key"), "row", "digest", "blocks", block_of("vid", "blocks").alias("block")
     )
     dealt = stored(dealt)
-    sets = full_sets(docs, dealt.select("vid", "doc_id", "digest")).withColumnRenamed("shingles", "value")
+    sets = full_sets(docs, dealt.select("vid", "row", "digest")).withColumnRenamed("shingles", "value")
     return compared(dealt.select("vid", "key", "block", "blocks").join(sets, "vid").withColumnRenamed("vid", "label"), linked)
 
 
@@ -373,20 +379,21 @@ def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_key, n_shingles, component_id, kept`` of each row of ``docs``.
+    """``doc_id, row_key, n_shingles, component_id, kept, component`` of each row of ``docs``.
 
-    ``component_id`` is the least ``doc_id`` that can be reached over links.
+    ``component_id`` is the least ``doc_id`` that can be reached over links. ``component``
+    is a number of the component, null for a text that is linked with nothing.
     """
     signed = stored(signatures(docs))
     classes = classes_of(signed)
     labels = class_components(docs, classes)
     known = classes.select("vid", "digest", F.col("doc_id").alias("_least"))
     if labels is None:
-        owned = known.select("digest", F.col("_least").alias("component_id"))
+        owned = known.select("digest", F.col("_least").alias("component_id"), F.col("vid").alias("component"))
     else:
         known = stored(known.join(labels, "vid", "left").withColumn("comp", F.coalesce("comp", "vid")))
         least = known.groupBy("comp").agg(F.min("_least").alias("component_id"))
-        owned = known.join(least, "comp").select("digest", "component_id")
+        owned = known.join(least, "comp").select("digest", "component_id", F.col("comp").alias("component"))
     rows = signed.select("doc_id", "row_key", "n_shingles", "digest").join(owned, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select(
@@ -395,11 +402,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "component",
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that a component's first document stands for."""
-    gone = stored(near_duplicates(docs).where("NOT kept").select("doc_id", "row_key").distinct())
-    same = docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (row_key(docs["text"]) == gone["row_key"])
-    return docs.join(gone.hint("merge"), same, "left_anti")
+    """One row of ``docs`` for each component: that with the least id, then the least text hash.
+
+    Rows of one id and text count as one wherever they are, texts without words included.
+    Repeats are cut within each task first, so a row that comes very often is not gathered.
+    """
+    rows = stored(near_duplicates(docs).select(_known_id(F.col("doc_id")).alias("_id"), "row_key", "kept", "component"))
+    first = rows.where("kept AND component IS NOT NULL").groupBy("component")
+    chosen = first.agg(F.min(F.struct("_id", "row_key")).alias("row")).select("row.*")
+    chosen = stored(chosen.unionByName(rows.where("component IS NULL").select("_id", "row_key").distinct()))
+    keys = ["_id", "row_key"]
+    plain = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    same = Window.partitionBy(*(f"_row.{k}" for k in keys)).orderBy("_row.order")
+    key = F.struct(_known_id(F.col("doc_id")).alias("_id"), row_key(F.col("text")).alias("row_key"), F.xxhash64(*plain).alias("order"))
+    single = docs.select(key.alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    single = single.withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
+    met = (single["_row._id"] == chosen["_id"]) & (single["_row.row_key"] == chosen["row_key"])
+    return single.join(chosen.hint("merge"), met, "left_semi").select("_doc.*")

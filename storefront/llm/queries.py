@@ -38,7 +38,7 @@ def op2_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_bbit_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    return near_duplicates(_table(spark, folder, "documents")).drop("row_key")
+    return near_duplicates(_table(spark, folder, "documents")).drop("row_key", "component")
 
 
 def op4_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:

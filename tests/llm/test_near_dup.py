@@ -63,7 +63,38 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
     kept = keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in rows if r["kept"])
+    # doc 3 is there twice
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted({str(r["doc_id"]) for r in rows if r["kept"]})
+
+
+def test_one_row_of_each_component(spark, texts):
+    """Repeated rows, equal ids with different texts, and components that have null ids or nothing else."""
+    text = texts[10]
+    near = text + " more"
+    rows = [(1, text)] * 3 + [(2, text), (None, text)]
+    assert keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect() == [(1, text)]
+    lost = [(None, text), (None, text), (None, near)]
+    assert len(keep_one(spark.createDataFrame(lost, "doc_id long, text string")).collect()) == 1
+    same_id = [(7, text), (7, near), (7, texts[20]), (7, None), (7, None), (8, None), (8, ""), (None, " "), (None, " ")]
+    kept = [tuple(r) for r in keep_one(spark.createDataFrame(same_id, "doc_id long, text string")).collect()]
+    assert len(kept) == 6 and (7, texts[20]) in kept and ((7, text) in kept) != ((7, near) in kept)
+
+
+def test_three_times_every_row(spark, docs):
+    once = sorted(map(str, keep_one(docs).collect()))
+    assert sorted(map(str, keep_one(docs.unionByName(docs).unionByName(docs)).collect())) == once
+
+
+def test_many_rows_of_one_id(spark):
+    """Texts meet their own classes only, however many share an id or have none."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(300)]
+    rows = spark.createDataFrame([(None, t + end) for t in texts for end in ("", " x")], "doc_id long, text string")
+    classes = near_dup.classes_of(near_dup.signatures(rows))
+    sets = near_dup.full_sets(rows, classes.select("vid", "row", "digest"))
+    assert sets.count() == 600 and keep_one(rows).count() == 300
+    joined = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "_key" in joined.split("Join")[1].split("\n")[0]
 
 
 def test_linked_and_forest():
