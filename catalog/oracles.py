@@ -15,6 +15,7 @@ from catalog.queries import (
     DEEP_LIMIT,
     DEEP_QUOTA,
     LIMIT,
+    MANY_QUOTA,
     NETWORKS,
     SITE_PATHS,
 )
@@ -513,6 +514,7 @@ QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= {LIMI
 SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) <= {DEEP_LIMIT}""",
     "page_quota_deep": _page_quota("orders", "o_orderstatus", "o_orderkey", "o_totalprice", 150000, DEEP_QUOTA),
+    "page_quota_many": _page_quota("orders", "o_orderstatus", "o_orderkey", "o_totalprice", 10000, MANY_QUOTA),
     "city_order": f"""
 WITH {_CUSTOMERS}
 SELECT city_ord, name AS city, c_custkey, c_name

@@ -73,6 +73,7 @@ TEMPLATE = "gym in [city] ([City])"
 LIMIT = 12
 DEEP_LIMIT = 5000
 DEEP_QUOTA = 1200
+MANY_QUOTA = 5000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -397,6 +398,16 @@ def page_quota_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_quota_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 at a limit that takes hundreds of pages to meet: an order counts above 10,000."""
+    orders = _table(spark, sf_dir, "orders").select(
+        "o_orderstatus", F.floor(F.col("o_orderkey") / 250).alias("page_no"), "o_orderkey", "o_totalprice"
+    )
+    return row_ops.limit_page_quota(
+        orders, ["o_orderstatus"], "page_no", "o_orderkey", MANY_QUOTA, F.col("o_totalprice") > 10_000
+    )
+
+
 def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations, and after them the regions, which no customer lives in."""
     nations = _table(spark, sf_dir, "nation").select(
@@ -562,6 +573,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_quota_limit": page_quota_limit,
     "limit_deep": limit_deep,
     "page_quota_deep": page_quota_deep,
+    "page_quota_many": page_quota_many,
     "city_order": city_order,
     "sheet_manifest": sheet_manifest,
     "run_status": run_status,

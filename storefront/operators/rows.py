@@ -9,48 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storefront.functions.text import name_key
+from storefront.materialize import materialize
 from storefront.params import check_limit
 
-# Spark's own cut per map task ends at this limit.
+# Up to this limit Spark cuts groups in each task before it shuffles them.
 _CUT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
-def _changes(batch: pa.RecordBatch, columns: Sequence[str], last: tuple | None) -> tuple[list[bool], tuple]:
-    """For each row, whether it differs in ``columns`` from the one before; and the last row's values."""
-    values = list(zip(*(batch.column(c).to_pylist() for c in columns)))
-    return [now != before for before, now in zip([last, *values], values)], values[-1]
+def _cut_in_tasks(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows``, of whose groups Spark may send on ``limit`` rows of each task.
 
-
-def _cut_in_tasks(
-    rows: DataFrame, by: Sequence[str], order: Sequence[str], limit: int, steps: Sequence[str] = ()
-) -> DataFrame:
-    """The first ``limit`` rows of each group within each task, so that a shuffle moves no more.
-
-    With ``steps``, rows that agree in these count as one. Up to a setting Spark
-    does the same by itself.
+    A limit beyond the session's threshold raises it; a session that has turned
+    this cut off (-1) keeps it off.
     """
-    if limit <= int(rows.sparkSession.conf.get(_CUT_SETTING, "1000")):
-        return rows
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, step, count = None, None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new_group, group = _changes(batch, by, group)
-            new_step, step = _changes(batch, [*by, *steps], step) if steps else ([True] * batch.num_rows, None)
-            keep = []
-            for start, more in zip(new_group, new_step):
-                count = 1 if start else count + more
-                keep.append(count <= limit)
-            yield batch.filter(pa.array(keep))
-
-    return rows.sortWithinPartitions(*by, *order).mapInArrow(first, rows.schema)
+    conf = rows.sparkSession.conf
+    if 0 <= int(conf.get(_CUT_SETTING, "1000")) <= limit:
+        conf.set(_CUT_SETTING, str(limit + 1))
+    return rows
 
 
 def dedup(
@@ -84,13 +66,113 @@ def limit_rows(
     limit = check_limit(limit)
     position = Window.partitionBy(*by).orderBy(*order)
     return (
-        _cut_in_tasks(rows, by, order, limit)
+        _cut_in_tasks(rows, limit)
         .withColumn("_rank", F.row_number().over(position))
         .where(F.col("_rank") <= limit)
         .drop("_rank")
     )
 
 
+def _starts(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    """The rows that differ from the one before in any of ``columns``, the first row included."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for name in columns:
+        before, now = batch.column(name)[:-1], batch.column(name)[1:]
+        differs = pc.or_(pc.fill_null(pc.not_equal(before, now), False), pc.xor(pc.is_null(before), pc.is_null(now)))
+        new[1:] |= differs.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _pages(
+    batches: Iterator[pa.RecordBatch], by: Sequence[str], page: str
+) -> Iterator[tuple[pa.RecordBatch, list[tuple[tuple, tuple, int, int]]]]:
+    """Batches with their pages ``(group, page, start, end)``; a page may go on in the next batch."""
+    for batch in batches:
+        if batch.num_rows:
+            starts = _starts(batch, [*by, page])
+            first = batch.take(pa.array(starts))
+            groups = list(zip(*(first.column(c).to_pylist() for c in by))) or [()] * len(starts)
+            pages = first.column(page).to_pylist()
+            yield batch, list(zip(groups, pages, starts.tolist(), [*starts[1:].tolist(), batch.num_rows]))
+
+
+def _quotas_before(ranges: DataFrame, by: Sequence[str], page: str, limit: int) -> dict[int, int]:
+    """How many cards are still wanted where a range of pages begins, for ranges that begin within a group.
+
+    What a page takes depends on how many cards are wanted, and pages only ever
+    close places: of the numbers 0..limit-1 a page whose valid cards stand at
+    places *p* closes the *p*-th open ones, and of *n* wanted cards as many are
+    left as there are open numbers below *n*. So a range of pages is the list of
+    numbers it leaves open, whatever is wanted before it, and ranges are read side
+    by side. The lists of a group, ``limit`` numbers at most for each range, are
+    then followed in order; the driver gets one number per range.
+    """
+
+    def left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, current, first, place, number = None, None, None, None, 0
+        is_open = np.arange(limit)
+        closed: list[np.ndarray] = []
+
+        def close_page() -> None:
+            nonlocal is_open
+            if closed:
+                places = np.concatenate(closed)
+                is_open = np.delete(is_open, places[places < len(is_open)])
+                closed.clear()
+
+        def row(batch_schema: pa.Schema) -> pa.RecordBatch:
+            close_page()
+            columns = [pa.array([part], pa.int64()), pa.array([number], pa.int64())]
+            columns += [pa.array([v], batch_schema.field(c).type) for c, v in zip(by, current)]
+            columns.append(pa.array([is_open], pa.list_(pa.int64())))
+            return pa.RecordBatch.from_arrays(columns, ["_part", "_number", *by, "_open"])
+
+        schema = None
+        for batch, pages in _pages(batches, by, page):
+            schema = batch.schema
+            part = batch.column("_part")[0].as_py()
+            at = batch.column("_at").to_numpy()
+            for group, now, start, end in pages:
+                if group != current or first is None:
+                    if first is not None and number == 0:
+                        yield row(schema)  # the first group of the range ends here
+                    if first is not None:
+                        number += 1
+                    first, current, place = group, group, now
+                    is_open = np.arange(limit)
+                    closed.clear()
+                elif now != place:
+                    close_page()
+                    place = now
+                closed.append(at[start:end])
+        if first is not None:
+            yield row(schema)  # the last group, which may be the first
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, begun, left = None, False, limit
+        for batch in batches:
+            groups = list(zip(*(batch.column(c).to_pylist() for c in by))) or [()] * batch.num_rows
+            parts, numbers = batch.column("_part").to_pylist(), batch.column("_number").to_pylist()
+            found = []
+            for n, group in enumerate(groups):
+                if not begun or group != current:
+                    begun, current, left = True, group, limit
+                if numbers[n] == 0:
+                    found.append((parts[n], left))
+                left = int(np.searchsorted(batch.column("_open")[n].values.to_numpy(), left))
+            columns = list(zip(*found)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["_part", "_left"])
+
+    kinds = dict(ranges.dtypes)
+    schema = ", ".join(["_part long", "_number long", *(f"`{c}` {kinds[c]}" for c in by), "_open array<long>"])
+    placed = ranges.select(*by, page, "_at", F.spark_partition_id().cast("long").alias("_part"))
+    summed = placed.mapInArrow(left_open, schema)
+    together = summed.repartition(*by) if by else summed.coalesce(1)
+    rows = together.sortWithinPartitions(*by, "_part", "_number").mapInArrow(follow, "_part long, _left long").collect()
+    return {r["_part"]: r["_left"] for r in rows}
+
+
 def limit_page_quota(
     cards: DataFrame,
     by: Sequence[str],
@@ -108,44 +190,47 @@ def limit_page_quota(
     A page takes something only while more cards are wanted than lie before its
     first valid card. Pages whose first valid card has the same position *p*
     are hence used in order, one card or more each, never more than ``limit - p``
-    of them, and at the *n*-th at most ``limit - n + 1`` cards are still wanted. So the pages
-    that can matter are at most ``limit * (limit + 1) / 2`` per group, whatever the
-    group holds. Those are read in order, row by row, with two numbers of state.
+    of them, and at the *n*-th at most ``limit - n + 1`` cards are still wanted. Only
+    such pages are kept. They are sorted by ranges, so that a group with many pages
+    spans many tasks, and written; each range is read on its own, first for what it
+    leaves (``_quotas_before``), then, with what was left before it, for its cards.
     """
     limit, columns = check_limit(limit), cards.columns
     on_page = Window.partitionBy(*by, page)
     looked_at = (
-        cards.withColumn("_place", F.row_number().over(on_page.orderBy(idx)))
+        _cut_in_tasks(cards, limit)
+        .withColumn("_place", F.row_number().over(on_page.orderBy(idx)))
         .where(F.col("_place") <= limit)
         .where(valid)
-        .withColumn("_at", F.col("_place") - 1)
+        .withColumn("_at", (F.col("_place") - 1).cast("long"))
         .withColumn("_first", F.min("_at").over(on_page))
     )
     same_start = Window.partitionBy(*by, "_first").orderBy(page)
     usable = (
-        _cut_in_tasks(looked_at, [*by, "_first"], [page], limit, steps=[page])
-        .withColumn("_nth", F.dense_rank().over(same_start))
+        looked_at.withColumn("_nth", F.dense_rank().over(same_start))
         .where((F.col("_nth") <= limit) & (F.col("_nth") <= limit - F.col("_first")))
         .where(F.col("_at") <= limit - F.col("_nth"))
         .select(*columns, "_at")
     )
+    ranges = materialize(usable.repartitionByRange(*by, page).sortWithinPartitions(*by, page, "_at"))
+    before = _quotas_before(ranges, by, page, limit)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, current, left, quota = None, None, limit, limit
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new_group, group = _changes(batch, by, group)
-            new_page, current = _changes(batch, [*by, page], current)
-            keep = []
-            for start, turn, at in zip(new_group, new_page, batch.column("_at").to_pylist()):
-                if start:
-                    left = limit
-                if turn:
+        begun, current, place, left, quota = False, None, None, limit, limit
+        for batch, pages in _pages(batches, by, page):
+            at = batch.column("_at").to_numpy()
+            keep = np.zeros(len(at), bool)
+            for group, now, start, end in pages:
+                if not begun:
+                    left = quota = before[batch.column("_part")[0].as_py()]
+                elif group != current:
+                    left = quota = limit
+                elif now != place:
                     quota = left
-                keep.append(at < quota)
-                left -= at < quota
+                begun, current, place = True, group, now
+                taken = int(np.searchsorted(at[start:end], quota))
+                keep[start : start + taken] = True
+                left -= taken
             yield batch.select(columns).filter(pa.array(keep))
 
-    in_order = usable.repartition(*by).sortWithinPartitions(*by, page, idx)
-    return in_order.mapInArrow(read, cards.schema)
+    return ranges.withColumn("_part", F.spark_partition_id().cast("long")).mapInArrow(read, cards.schema)

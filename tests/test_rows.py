@@ -12,6 +12,15 @@ from storefront.operators.rows import dedup, dedup_counts, limit_page_quota, lim
 LIGHT = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
+@pytest.fixture(autouse=True, scope="module")
+def ranges_stay_apart(spark):
+    """Small tables would all be one partition, and no group in several."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, "true")
+
+
 def _named(spark, names, city="A"):
     rows = [(city, i, n) for i, n in enumerate(names)]
     return spark.createDataFrame(rows, "city string, ord int, name string").repartition(3)
@@ -113,7 +122,7 @@ def test_quota_equals_reading_card_by_card(spark, pages, limit, parts):
 
 @pytest.mark.parametrize("limit", [501, 1500, 5000])
 def test_quota_at_large_limits(spark, limit):
-    """Also beyond the limit at which Spark's own cut per task ends."""
+    """Also beyond the limit at which Spark's own cut per task ends by default."""
     rng = random.Random(limit)
     pages = [[[rng.random() < 0.7 for _ in range(rng.randrange(1, 25))] for _ in range(n)] for n in (500, 40, 3)]
     assert _quota(_cards(spark, pages, 7), limit) == _read_pages(pages, limit)
@@ -129,8 +138,43 @@ def test_a_deep_limit_is_cut_in_each_task(spark):
     for city, order in out.collect():
         got.setdefault(city, []).append(order)
     assert {c: sorted(v) for c, v in got.items()} == {c: sorted(v)[:1500] for c, v in want.items()}
-    tracker = out._jdf.queryExecution().executedPlan().toString()
-    assert "MapInArrow" in tracker and tracker.index("Exchange") < tracker.index("MapInArrow")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 1500, Partial" in plan and "Arrow" not in plan and "Python" not in plan
+
+
+def test_a_cut_that_is_off_stays_off(spark):
+    name = "spark.sql.optimizer.windowGroupLimitThreshold"
+    saved = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        assert limit_rows(spark.range(9).selectExpr("1 city", "id"), ["city"], ["id"], 5).count() == 5
+        assert spark.conf.get(name) == "-1"
+    finally:
+        spark.conf.set(name, saved)
+
+
+def test_a_city_of_many_pages_is_read_in_many_tasks(spark):
+    """One city, at a limit that no few pages meet: its pages lie in several ranges, which are read side by side."""
+    cards = spark.range(60_000).selectExpr("'A' city", "id div 6 page_no", "id % 6 idx", "id % 11 = 0 ok")
+    out = limit_page_quota(cards, ["city"], "page_no", "idx", 4000, F.col("ok"))
+    sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 3 and sum(sizes) == 4000 and max(sizes) < 2500
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    flags = [[(p * 6 + i) % 11 == 0 for i in range(6)] for p in range(10_000)]
+    assert sorted((0, r.page_no, r.idx) for r in out.collect()) == _read_pages([flags], 4000)
+
+
+def test_groups_are_told_apart_by_every_column(spark):
+    rows = [(a, b, p, i, (p + i) % 3 > 0) for a in (None, "x", "y") for b in (None, 1) for p in range(5) for i in range(4)]
+    cards = spark.createDataFrame(rows, "a string, b int, page_no int, idx int, ok boolean").repartition(4)
+    out = limit_page_quota(cards, ["a", "b"], "page_no", "idx", 5, F.col("ok"))
+    flags = [[(p + i) % 3 > 0 for i in range(4)] for p in range(5)]
+    expected = [(p, i) for _, p, i in _read_pages([flags], 5)]
+    assert sorted((str(r.a), str(r.b), r.page_no, r.idx) for r in out.collect()) == sorted(
+        (str(a), str(b), p, i) for a in (None, "x", "y") for b in (None, 1) for p, i in expected
+    )
+    whole = limit_page_quota(cards.where("a = 'x' AND b = 1"), [], "page_no", "idx", 5, F.col("ok"))
+    assert sorted((r.page_no, r.idx) for r in whole.collect()) == expected
 
 
 def test_quota_on_a_city_with_most_of_the_rows(spark):
