@@ -24,25 +24,27 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storefront.llm.common import stored
-from storefront.llm.csr import Csr, labels, product, products, runs, starts, transposed
+from storefront.llm.csr import Csr, labels, product, products, runs, spread, starts, transposed
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text that a block holds, if no single text is longer.
 BLOCK = 1 << 23
-#: Units handed to a tokenizer at once.
-CHUNK = 1 << 14
+#: Units handed to a tokenizer at once, and how many of them in a row.
+CHUNK, ROW = 1 << 14, 1 << 7
 _UNITS = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -50,10 +52,51 @@ _UNITS = re.compile(r"(?<=\S)(?= \S)")
 class Coder:
     """One side: ids of texts, and the bytes each id stands for."""
 
-    encode: object
+    encode: Callable[[list[str]], list[list[int]]]
     pieces: list[bytes]
     sizes: np.ndarray
 
+    def tokens(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units, one after the other, how many each has, and whether its bytes come back.
+
+        Units are handed on many in a row where that makes no difference, which the bytes of
+        their tokens tell; the others one by one.
+        """
+        plain = [u.encode() for u in units]
+        alone = np.array([u[-1:].isspace() or u[1:2].isspace() or len(u) < 2 for u in units], bool)
+        together = np.flatnonzero(~alone)
+        ids, counts, order = [], [], []
+        for at in range(0, len(together), CHUNK):
+            some = together[at : at + CHUNK].tolist()
+            rows = [some[n : n + ROW] for n in range(0, len(some), ROW)]
+            flat = np.array([i for x in self.encode(["".join([units[n] for n in row]) for row in rows]) for i in x], np.int64)
+            ends = np.cumsum(np.fromiter((len(plain[n]) for n in some), np.int64, len(some)))
+            reached = np.cumsum(self.sizes[flat])
+            last = np.searchsorted(reached, ends)
+            if len(reached) and reached[-1] == ends[-1] and (reached[last] == ends).all() and self._back(flat.tolist()) == b"".join([plain[n] for n in some]):
+                ids.append(flat)
+                counts.append(np.diff(last + 1, prepend=0))
+                order.append(together[at : at + CHUNK])
+            else:
+                alone[some] = True
+        valid = ~alone
+        single = np.flatnonzero(alone)
+        for at in range(0, len(single), CHUNK):
+            some = single[at : at + CHUNK]
+            found = self.encode([units[n] for n in some.tolist()])
+            ids.append(np.array(list(chain.from_iterable(found)), np.int64))
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            order.append(some)
+            valid[some] = [self._back(x) == plain[n] for x, n in zip(found, some.tolist())]
+        if not ids:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), valid
+        place = np.argsort(np.concatenate(order))
+        flat, many = np.concatenate(ids), np.concatenate(counts)
+        return flat[spread(starts(many), place)[0]], many[place], valid
+
+    def _back(self, ids: list[int]) -> bytes:
+        return b"".join([self.pieces[i] for i in ids])
+
 
 def _byte_alphabet() -> dict[str, int]:
     """Which character stands for which byte in a byte-level vocabulary: printable ones for themselves."""
@@ -62,7 +105,7 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
-def _coder(encode: object, pieces: list[bytes]) -> Coder:
+def _coder(encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes]) -> Coder:
     return Coder(encode, pieces, np.array([len(p) for p in pieces], np.int64))
 
 
@@ -121,24 +164,20 @@ class Aligned:
         return labels(self.group_a, self.n_groups), labels(self.group_b, self.n_groups)
 
 
-def _encoded(units: list[str], coder: Coder) -> list[list[int]]:
-    return [ids for at in range(0, len(units), CHUNK) for ids in coder.encode(units[at : at + CHUNK])]
-
-
 def align(units: Sequence[str], one: Coder, two: Coder) -> Aligned:
     """Tokens, links and groups of units that each begin with a blank."""
-    a, b = _encoded(list(units), one), _encoded(list(units), two)
-    valid = np.zeros(len(units), bool)
-    for n, unit in enumerate(units):
-        plain = unit.encode()
-        valid[n] = all(b"".join([c.pieces[i] for i in ids[n]]) == plain for c, ids in ((one, a), (two, b)))
-    a_ptr, b_ptr = (starts(np.array([len(x) if ok else 0 for x, ok in zip(ids, valid)], np.int64)) for ids in (a, b))
-    a, b = (np.array([i for x, ok in zip(ids, valid) if ok for i in x], np.int64) for ids in (a, b))
+    (a, many_a, valid_a), (b, many_b, valid_b) = one.tokens(list(units)), two.tokens(list(units))
+    valid = valid_a & valid_b
+    if not valid.all():  # those that do not come back have no tokens
+        a, b = a[np.repeat(valid, many_a)], b[np.repeat(valid, many_b)]
+        many_a, many_b = many_a * valid, many_b * valid
     over_a, over_b = runs(one.sizes[a]), runs(two.sizes[b])
     links = product(over_a, transposed(over_b))
-    cuts = np.intersect1d(over_a.ptr[1:], over_b.ptr[1:])
+    ends = np.zeros(over_b.width + 1, bool)
+    ends[over_b.ptr] = True
+    cuts = over_a.ptr[1:][ends[over_a.ptr[1:]]]
     group_a, group_b = (np.searchsorted(cuts, m.ptr[1:]) for m in (over_a, over_b))
-    return Aligned(valid, a, b, a_ptr, b_ptr, links, group_a, group_b, len(cuts))
+    return Aligned(valid, a, b, starts(many_a), starts(many_b), links, group_a, group_b, len(cuts))
 
 
 def group_texts(found: Aligned, names_a: tuple[np.ndarray, np.ndarray], names_b: tuple[np.ndarray, np.ndarray]) -> list[str]:
@@ -174,10 +213,12 @@ def align_texts(texts: Sequence[str | None], one: Coder, two: Coder) -> tuple[li
 
     A pair is ``a * (number of B's ids) + b``; a text's ``pairs`` are places in the list.
     """
-    number: dict[str, int] = {}
-    coded = [[number.setdefault(u, len(number)) for u in _UNITS.split(" " + t)] if t else [] for t in texts]
-    units = list(number)
-    found = align(units, one, two)
+    parts = [_UNITS.split(" " + t) if t else [] for t in texts]
+    bounds = starts(np.array([len(p) for p in parts], np.int64)).tolist()
+    place, units = pd.factorize(np.array([*chain.from_iterable(parts), None], object)[:-1])
+    del parts
+    coded = [place[start:end] for start, end in zip(bounds, bounds[1:])]
+    found = align(units.tolist(), one, two)
     n_a, n_b = np.diff(found.a_ptr), np.diff(found.b_ptr)
     unit_links = _within(found.a_ptr, found.links.ptr)
     firsts = np.searchsorted(found.group_a, np.arange(found.n_groups))  # the first token of each group
@@ -190,10 +231,10 @@ def align_texts(texts: Sequence[str | None], one: Coder, two: Coder) -> tuple[li
     named = group_texts(found, _names(len(one.pieces), "|"), _names(len(two.pieces), ";"))
 
     a_of = np.repeat(found.a, np.diff(found.links.ptr))
-    pairs, place = np.unique(a_of * len(two.pieces) + found.b[found.links.idx], return_inverse=True)
-    valid = [bool(c) and bool(found.valid[c].all()) for c in coded]
-    coded = [np.array(c if ok else [], np.int64) for c, ok in zip(coded, valid)]
-    texts_units = Csr(starts(np.array([len(c) for c in coded], np.int64)), np.concatenate([*coded, np.zeros(0, np.int64)]), len(units))
+    place, pairs = pd.factorize(a_of * len(two.pieces) + found.b[found.links.idx])
+    valid = [len(c) > 0 and bool(found.valid[c].all()) for c in coded]
+    coded = [c if ok else c[:0] for c, ok in zip(coded, valid)]
+    texts_units = Csr(starts(np.array([len(c) for c in coded], np.int64)), np.concatenate([*coded, np.zeros(0, np.int64)]).astype(np.int64), len(units))
     units_pairs = Csr(starts(unit_links), place.astype(np.int64), len(pairs))
     totals = np.zeros(len(pairs), np.int64)
     rows: list[dict] = []
