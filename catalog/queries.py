@@ -255,7 +255,7 @@ def page_socials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each host a result, its pages in order, three kinds of anchor as cards."""
     pages = _table(spark, sf_dir, "pages").withColumn("host", url_host(F.col("url")))
-    return listing_cards(pages, ["host"], "page_id", CARD_SELS)
+    return listing_cards(pages, ["host"], "page_id", CARD_SELS, names=())
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,11 +273,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _picked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = html_nodes(F.col("html"), rules_interest(PAGE_RULES))
-    pages = settled(_table(spark, sf_dir, "pages").select("page_id", nodes.alias("_nodes")))
-    found = pages.select(
-        "page_id", candidate_array("_nodes", PAGE_RULES, F.lit(0)).alias("_found")
-    )
+    parsed = html_nodes(F.col("html"), rules_interest(PAGE_RULES))
+    pages = settled(_table(spark, sf_dir, "pages").select("page_id", parsed.alias("_page")))
+    found = pages.select("page_id", candidate_array("_page", PAGE_RULES, F.lit(0)).alias("_found"))
     fields = ("name", "note", "link")
     return found.select("page_id", *(pick_first(F.col("_found"), f).alias(f) for f in fields))
 

@@ -1,10 +1,12 @@
 """HTML elements as an array column.
 
 Tree structure is the one thing the built-in functions cannot express, so one
-Arrow stage turns a page into its elements: numbered in document order, each
-with the number of its last descendant, so "inside" is a range test. The array
-stays on the row of its page: rules over it need no join and no shuffle, and
-only elements some rule can use leave the stage.
+Arrow stage turns a page into its text and its elements: numbered in document
+order, each with the number of its last descendant, the bytes of the text it
+covers, and the described ancestors it stands under. So the output grows with the
+page, however deep its elements are nested, and a rule cuts the text of those
+elements only that it looks at. The array stays on the row of its page: rules over
+it need no join and no shuffle, and only elements some rule can use leave the stage.
 """
 
 from __future__ import annotations
@@ -12,9 +14,11 @@ from __future__ import annotations
 import html as _html
 import re
 import sys
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -29,42 +33,59 @@ from storefront.functions.markup import (
     NAME_END,
     raw_element,
 )
+from storefront.params import WHITESPACE
 
 # Executors get this module with the function that uses it; nothing to install there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Text offsets are bytes: ``from`` and ``to`` of all text, ``head`` and ``tail`` without outer space.
 NODE_TYPE = (
-    "array<struct<node:int,last:int,beg:int,end:int,tag:string,"
-    "cls:array<string>,attrs:map<string,string>,text:string>>"
+    "struct<text:binary,nodes:array<struct<node:int,last:int,beg:int,end:int,tag:string,"
+    "cls:array<string>,attrs:map<string,string>,under:array<string>,from:int,to:int,head:int,tail:int>>>"
 )
-_ARROW_TYPE = pa.list_(
-    pa.struct(
-        [
-            ("node", pa.int32()),
-            ("last", pa.int32()),
-            ("beg", pa.int32()),
-            ("end", pa.int32()),
-            ("tag", pa.string()),
-            ("cls", pa.list_(pa.string())),
-            ("attrs", pa.map_(pa.string(), pa.string())),
-            ("text", pa.string()),
-        ]
-    )
+_ARROW_TYPE = pa.struct(
+    [
+        ("text", pa.binary()),
+        (
+            "nodes",
+            pa.list_(
+                pa.struct(
+                    [
+                        ("node", pa.int32()),
+                        ("last", pa.int32()),
+                        ("beg", pa.int32()),
+                        ("end", pa.int32()),
+                        ("tag", pa.string()),
+                        ("cls", pa.list_(pa.string())),
+                        ("attrs", pa.map_(pa.string(), pa.string())),
+                        ("under", pa.list_(pa.string())),
+                        ("from", pa.int32()),
+                        ("to", pa.int32()),
+                        ("head", pa.int32()),
+                        ("tail", pa.int32()),
+                    ]
+                )
+            ),
+        ),
+    ]
 )
+_BLANKS = re.compile(b"(?:" + b"|".join(re.escape(c.encode()) for c in WHITESPACE) + b")+")
 
 
 @dataclass(frozen=True)
 class Interest:
     """Which elements leave the stage: by tag, class or attribute name.
 
-    ``shown`` are further attributes to carry. Without any, all elements and
-    all attributes are kept.
+    ``shown`` are further attributes to carry, ``outers`` the ancestors that
+    elements are told to stand under. Without any, all elements and all attributes
+    are kept.
     """
 
     tags: frozenset = field(default_factory=frozenset)
     classes: frozenset = field(default_factory=frozenset)
     attrs: frozenset = field(default_factory=frozenset)
     shown: frozenset = field(default_factory=frozenset)
+    outers: frozenset = field(default_factory=frozenset)
 
     def __or__(self, other: Interest) -> Interest:
         return Interest(
@@ -72,6 +93,7 @@ class Interest:
             self.classes | other.classes,
             self.attrs | other.attrs,
             self.shown | other.shown,
+            self.outers | other.outers,
         )
 
     @property
@@ -134,23 +156,34 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def parse_nodes(page: str, interest: Interest) -> list[dict]:
-    """The elements of one page in document order."""
+def parse_nodes(page: str, interest: Interest) -> tuple[bytes, list[dict]]:
+    """The text of one page and its elements in document order."""
     kept: list[dict] = []
-    texts: list[str] = []
+    texts: list[bytes] = []
     length = 0
     open_elements: list[tuple[str, dict | None]] = []
     open_tags: Counter[str] = Counter()  # an end tag without an open partner costs one look
+    open_outers: Counter[str] = Counter()
     count = 0
     keep_all = interest.everything
     is_likely = interest.likely().search
     shown = interest.attrs | interest.shown
+    # described ancestors by the class, attribute or tag that tells them first
+    by_hint: dict[tuple[str, str], list[Sel]] = {}
+    for sel in interest.outers:
+        by_hint.setdefault(sel.hint, []).append(sel)
+    under: list[str] = []  # which of them are open; a new list whenever that changes
 
     def add_text(piece: str) -> None:
         nonlocal length
         if piece:
-            texts.append(piece)
-            length += len(piece)
+            texts.append(piece.encode())
+            length += len(texts[-1])
+
+    def note_open() -> None:
+        nonlocal under
+        now = sorted(key for key, n in open_outers.items() if n)
+        under = under if now == under else now
 
     def start(tag: str, source: str, at: int) -> dict | None:
         nonlocal count
@@ -172,14 +205,24 @@ def parse_nodes(page: str, interest: Interest) -> list[dict]:
             "tag": tag,
             "cls": classes,
             "attrs": [(k, v) for k, v in attrs.items() if keep_all or k in shown],
-            "text": length,
+            "under": under,
+            "from": length,
         }
+        hints = [("tag", tag), *(("class", c) for c in classes), *(("attr", a) for a in attrs)]
+        described = {sel.key for h in hints if h in by_hint for sel in by_hint[h] if sel.matches(tag, classes, attrs, under)}
+        if described:
+            node["is"] = described
+            open_outers.update(described)
+            note_open()
         kept.append(node)
         return node
 
     def close(node: dict | None, at: int) -> None:
         if node is not None:
-            node["last"], node["end"], node["text"] = count - 1, at, (node["text"], length)
+            node["last"], node["end"], node["to"] = count - 1, at, length
+            if "is" in node:
+                open_outers.subtract(node.pop("is"))
+                note_open()
 
     def close_last(at: int) -> None:
         tag, node = open_elements.pop()
@@ -223,30 +266,54 @@ def parse_nodes(page: str, interest: Interest) -> list[dict]:
     add_text(_html.unescape(rest) if "&" in rest else rest)
     close_to(0, len(page))
 
-    text = "".join(texts)
+    text = b"".join(texts)
+    blanks = [m.span() for m in _BLANKS.finditer(text)]
+    begins = [b for b, _ in blanks]
     for node in kept:
-        begin, end = node["text"]
-        node["text"] = text[begin:end]
-    return kept
+        head, tail = node["from"], node["to"]
+        run = bisect_right(begins, head) - 1
+        if run >= 0 and head < blanks[run][1]:
+            head = min(blanks[run][1], tail)
+        run = bisect_right(begins, tail - 1) - 1
+        if head < tail and run >= 0 and tail <= blanks[run][1]:
+            tail = blanks[run][0]
+        node["head"], node["tail"] = head, tail
+    return text, kept
 
 
 def html_nodes(html: Column, interest: Interest = Interest()) -> Column:
-    """``ARRAY<STRUCT>`` of a page's elements (``NODE_TYPE``), empty for a null page."""
+    """``STRUCT`` of a page's text and elements (``NODE_TYPE``), empty for a null page."""
 
     @F.arrow_udf(NODE_TYPE)
     def nodes(pages: pa.Array) -> pa.Array:
         rows = [parse_nodes(page.as_py() or "", interest) for page in pages]
-        return pa.array(rows, type=_ARROW_TYPE)
+        return pa.array([{"text": text, "nodes": found} for text, found in rows], type=_ARROW_TYPE)
 
     return nodes(html)
 
 
+def cut_text(page: Column, start: Column, end: Column) -> Column:
+    """Bytes ``start`` to ``end`` of the text of a page: no other part of it is looked at."""
+    return F.substr(page["text"], start + 1, end - start).cast("string")
+
+
+def node_text(node: Column, page: Column) -> Column:
+    """Text of an element without outer space."""
+    return cut_text(page, node["head"], node["tail"])
+
+
 def node_rows(
     pages: DataFrame, by: Sequence[str], html: str = "html", interest: Interest = Interest()
 ) -> DataFrame:
     """The elements as a table ``(*by, node, last, beg, end, tag, cls, attrs, text)``."""
-    nodes = html_nodes(F.col(html), interest).alias("_nodes")
-    return pages.select(*by, nodes).select(*by, F.inline("_nodes"))
+    page = html_nodes(F.col(html), interest).alias("_page")
+    rows = pages.select(*by, page).select(*by, "_page", F.explode("_page.nodes").alias("_node"))
+    node = F.col("_node")
+    return rows.select(
+        *by,
+        *(node[c].alias(c) for c in ("node", "last", "beg", "end", "tag", "cls", "attrs")),
+        cut_text(F.col("_page"), node["from"], node["to"]).alias("text"),
+    )
 
 
 @dataclass(frozen=True)
@@ -263,16 +330,46 @@ class Sel:
     without: tuple[str, ...] = ()
     within: Sel | None = None
 
+    @cached_property
+    def hint(self) -> tuple[str, str]:
+        """The class, attribute or tag that any such element has."""
+        if self.classes:
+            return "class", self.classes[0]
+        return ("attr", self.attrs[0][0]) if self.attrs else ("tag", self.tag or "")
+
+    @cached_property
+    def key(self) -> str:
+        """By what an element that stands under such a one tells so."""
+        return repr((self.tag, self.classes, self.attrs, self.without, self.within and self.within.key))
+
+    def matches(self, tag: str, classes: list[str], attrs: dict[str, str], under: list[str]) -> bool:
+        return (
+            (self.tag is None or self.tag == tag)
+            and all(c in classes for c in self.classes)
+            and not any(c in classes for c in self.without)
+            and all(_ATTR_TESTS[op](attrs.get(name), want) for name, op, want in self.attrs)
+            and (self.within is None or self.within.key in under)
+        )
+
     def interest(self) -> Interest:
         """The narrowest single key that finds this element, and its ancestor's."""
         names = frozenset(name for name, _, _ in self.attrs)
-        if self.classes:
-            own = Interest(classes=frozenset(self.classes[:1]), shown=names)
-        elif self.attrs:
+        kind, hint = self.hint
+        if kind == "class":
+            own = Interest(classes=frozenset([hint]), shown=names)
+        elif kind == "attr":
             own = Interest(attrs=names)
         else:
-            own = Interest(tags=frozenset([self.tag]))
-        return own | self.within.interest() if self.within else own
+            own = Interest(tags=frozenset([hint]))
+        return own | self.within.interest() | Interest(outers=frozenset([self.within])) if self.within else own
+
+
+_ATTR_TESTS = {
+    "has": lambda have, want: have is not None,
+    "=": lambda have, want: have == want,
+    "^=": lambda have, want: have is not None and have.startswith(want),
+    "*=": lambda have, want: have is not None and want in have,
+}
 
 
 def interest_of(sels: Iterable[Sel], shown: Iterable[str] = ()) -> Interest:
@@ -304,26 +401,23 @@ def _attr_test(node: str, name: str, op: str, want: str) -> str:
     }[op]
 
 
-def _predicate(sel: Sel, node: str, nodes: str) -> str:
+def _predicate(sel: Sel, node: str) -> str:
     """SQL test whether a node is what ``sel`` describes; null counts as no."""
     tests = [] if sel.tag is None else [f"{node}.tag = {_quoted(sel.tag)}"]
     tests += [f"array_contains({node}.cls, {_quoted(c)})" for c in sel.classes]
     tests += [f"NOT array_contains({node}.cls, {_quoted(c)})" for c in sel.without]
     tests += [_attr_test(node, *test) for test in sel.attrs]
     if sel.within is not None:
-        outer = f"{node}_"
-        tests.append(
-            f"exists({nodes}, {outer} -> {node}.node > {outer}.node "
-            f"AND {node}.node <= {outer}.last AND {_predicate(sel.within, outer, nodes)})"
-        )
-    return " AND ".join(tests)
+        tests.append(f"array_contains({node}.under, {_quoted(sel.within.key)})")
+    return " AND ".join(tests) or "true"
 
 
 def select_nodes(nodes: str, sels: Sequence[Sel]) -> Column:
-    """Nodes of the column ``nodes`` that match any of the descriptions, in document order.
+    """Nodes of the array ``nodes`` that match any of the descriptions, in document order.
 
+    The array must come from ``html_nodes`` with the ``interest_of`` these descriptions.
     One SQL expression per call: a rule table compares many fields, and building
     each comparison as a Column would cost far more than parsing the text.
     """
-    either = " OR ".join(f"({_predicate(sel, 'n', nodes)})" for sel in sels)
+    either = " OR ".join(f"({_predicate(sel, 'n')})" for sel in sels)
     return F.expr(f"filter({nodes}, n -> {either})")

@@ -29,10 +29,12 @@ from storefront.functions.urls import has_scheme, url_join
 from storefront.operators.nodes import (
     Interest,
     Sel,
+    cut_text,
     html_nodes,
     inside,
     interest_of,
     node_attr,
+    node_text,
     select_nodes,
 )
 
@@ -40,30 +42,43 @@ LABEL_CLASS = "aSAiSd"
 PHONE_ATTR = "data-phone-number"
 
 
-def _text(node: Column, nodes: Column) -> Column:
-    return utrim(node["text"])
+#: A text that ends in a phone is told by so many bytes from its end, unless all are phone characters.
+PHONE_TAIL_BYTES = 96
+
+
+def _size(node: Column) -> Column:
+    return node["tail"] - node["head"]
+
+
+def _short_text(node: Column, page: Column, most: int) -> Column:
+    """Text of an element, null if it has more than ``most`` characters for sure (a character has 4 bytes at most)."""
+    return F.when(_size(node) <= 4 * most, node_text(node, page))
+
+
+def _text(node: Column, page: Column) -> Column:
+    return node_text(node, page)
 
 
 def _attr(name: str) -> Callable[[Column, Column], Column]:
-    return lambda node, nodes: F.coalesce(node_attr(node, name), F.lit(""))
+    return lambda node, page: F.coalesce(node_attr(node, name), F.lit(""))
 
 
-def _link(node: Column, nodes: Column) -> Column:
+def _link(node: Column, page: Column) -> Column:
     """The href as captured; it is made absolute once, after the pick."""
     return F.coalesce(utrim(node_attr(node, "href")), F.lit(""))
 
 
-def _website_button(node: Column, nodes: Column) -> Column:
+def _website_button(node: Column, page: Column) -> Column:
     """The link of a button that is labelled ``website`` or ``site``."""
     inner = F.get(
         F.filter(
-            nodes,
+            page["nodes"],
             lambda n: F.array_contains(n["cls"], LABEL_CLASS) & inside(n, node),
         ),
         0,
     )
-    label = F.lower(utrim(F.coalesce(inner["text"], node["text"])))
-    link = _link(node, nodes)
+    label = F.lower(_short_text(F.coalesce(inner, node), page, 7))
+    link = _link(node, page)
     is_web = link.rlike("^(?i:http)") | ~has_scheme(link)
     return F.when(label.isin("website", "site") & is_web, link).otherwise("")
 
@@ -74,32 +89,40 @@ def tel_value(href: Column) -> Column:
     return utrim(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
 
 
-def _tel(node: Column, nodes: Column) -> Column:
+def _tel(node: Column, page: Column) -> Column:
     return F.coalesce(tel_value(node_attr(node, "href")), F.lit(""))
 
 
-def _call_label(node: Column, nodes: Column) -> Column:
+def _call_label(node: Column, page: Column) -> Column:
     return F.coalesce(node_attr(node, PHONE_ATTR), phone_run(node_attr(node, "aria-label")))
 
 
-def _phone_text(node: Column, nodes: Column) -> Column:
-    text = utrim(node["text"])
+def _phone_text(node: Column, page: Column) -> Column:
+    text = _short_text(node, page, 20)
     return F.when(is_phone(text), text).otherwise("")
 
 
-def _phone_in_text(node: Column, nodes: Column) -> Column:
-    text = utrim(node["text"])
-    tail = phone_tail(text)
-    return F.when(tail != "", tail).when(is_phone(text), text).otherwise("")
+def _phone_tail(node: Column, page: Column) -> Column:
+    """``phone_tail`` of the text, which reads all of it only where its end leaves that open."""
+    end = cut_text(page, F.greatest(node["head"], node["tail"] - PHONE_TAIL_BYTES), node["tail"])
+    # the cut may have parted a character
+    end = F.regexp_replace(end, "^\ufffd+", "")
+    whole = (_size(node) <= PHONE_TAIL_BYTES) | (phone_clean(end) == utrim(end))
+    return F.when(whole, phone_tail(node_text(node, page))).otherwise(phone_tail(end))
+
 
+def _phone_in_text(node: Column, page: Column) -> Column:
+    tail = _phone_tail(node, page)
+    return F.when(tail != "", tail).otherwise(_phone_text(node, page))
 
-def _address_text(node: Column, nodes: Column) -> Column:
-    text = utrim(node["text"])
+
+def _address_text(node: Column, page: Column) -> Column:
+    text = _short_text(node, page, 200)
     return F.when(is_address(text), text).otherwise("")
 
 
-def _city_line(node: Column, nodes: Column) -> Column:
-    text = strip_marks(utrim(node["text"]))
+def _city_line(node: Column, page: Column) -> Column:
+    text = strip_marks(node_text(node, page))
     return F.when(is_city_line(text), text).otherwise("")
 
 
@@ -118,7 +141,7 @@ class Rule:
     scope: str
     sels: tuple[Sel, ...]
     take: str = "each"
-    value: Callable[[Column, Column], Column] = _text
+    value: Callable[[Column, Column], Column] = _text  # of an element and its page
 
 
 _CARD, _PANEL = "card", "panel"
@@ -230,13 +253,13 @@ def _hits(rule: Rule, nodes: str, position: Column) -> Column:
     raise ValueError(f"unknown take {rule.take!r}")
 
 
-def candidate_array(nodes: str, rules: Sequence[Rule], position: Column) -> Column:
-    """``ARRAY<STRUCT<field, pri, pos, value>>`` of all rules on the nodes of one document."""
-    column = F.col(nodes)
+def candidate_array(page: str, rules: Sequence[Rule], position: Column) -> Column:
+    """``ARRAY<STRUCT<field, pri, pos, value>>`` of all rules on the page parsed into column ``page``."""
+    column = F.col(page)
 
     def found(rule: Rule) -> Column:
         return F.transform(
-            _hits(rule, nodes, position),
+            _hits(rule, f"{page}.nodes", position),
             lambda node: F.struct(
                 F.lit(rule.field).alias("field"),
                 F.lit(rule.pri).alias("pri"),
@@ -248,15 +271,23 @@ def candidate_array(nodes: str, rules: Sequence[Rule], position: Column) -> Colu
     return F.concat(*(found(rule) for rule in rules))
 
 
-def _of_page(rule: Rule) -> Column:
-    """The candidate that the listing carries from its result page; blank if none."""
-    return F.array(
-        F.struct(
-            F.lit(rule.field).alias("field"),
-            F.lit(rule.pri).alias("pri"),
-            F.lit(-1).alias("pos"),
-            F.coalesce(F.col("_on_page"), F.lit("")).alias("value"),
-        )
+def first_value(page: str, rules: Sequence[Rule], position: Column) -> Column:
+    """First non-blank value of rules of one priority, null if there is none.
+
+    For one rule its elements are looked at in order, and none after the first that gives a value.
+    """
+    if len(rules) > 1:
+        found = candidate_array(page, rules, position)
+        return F.array_min(F.filter(found, lambda c: c["value"] != ""))["value"]
+    (rule,), column = rules, F.col(page)
+
+    def value(node: Column) -> Column:
+        return F.transform(F.array(rule.value(node, column)), lambda v: F.when(v != "", v))[0]
+
+    return F.aggregate(
+        _hits(rule, f"{page}.nodes", position),
+        F.lit(None).cast("string"),
+        lambda known, node: F.when(known.isNotNull(), known).otherwise(value(node)),
     )
 
 
@@ -281,9 +312,9 @@ def field_candidates(
     pages: DataFrame, rules: Sequence[Rule], by: Sequence[str], html: str = "html"
 ) -> DataFrame:
     """Candidate rows ``(*by, field, pri, pos, value)`` of every page."""
-    nodes = settled(pages.select(*by, html_nodes(F.col(html), rules_interest(rules)).alias("_nodes")))
-    found = candidate_array("_nodes", rules, F.lit(0))
-    return nodes.select(*by, F.inline(found))
+    parsed = settled(pages.select(*by, html_nodes(F.col(html), rules_interest(rules)).alias("_page")))
+    found = candidate_array("_page", rules, F.lit(0))
+    return parsed.select(*by, F.inline(found))
 
 
 def listing_fields(
@@ -316,18 +347,21 @@ def listing_fields(
         ),
     )
     parsed = settled(parsed)
-    found = F.concat(
-        *(
-            candidate_array(f"_{scope}", scoped, F.col("_nth"))
-            for scope, scoped in scopes.items()
-            if scoped
-        ),
-        *(_of_page(rule) for rule in rules if rule.take == "nth"),
-    )
     fields = list(dict.fromkeys(rule.field for rule in rules))
-    picked = parsed.select(*keys, "_url", found.alias("_found")).select(
-        *keys, "_url", *(pick_first(F.col("_found"), f).alias(f) for f in fields)
-    )
+
+    def picked_field(field: str) -> Column:
+        """The rules in order; those after the one that gives a value are not looked at."""
+        values = []
+        for pri in sorted({rule.pri for rule in rules if rule.field == field}):
+            if any(r.take == "nth" for r in rules if (r.field, r.pri) == (field, pri)):
+                values.append(F.when(F.col("_on_page") != "", F.col("_on_page")))
+            for scope, scoped in scopes.items():
+                same = [r for r in scoped if (r.field, r.pri) == (field, pri)]
+                if same:
+                    values.append(first_value(f"_{scope}", same, F.col("_nth")))
+        return F.coalesce(*values, F.lit(""))
+
+    picked = parsed.select(*keys, "_url", *(picked_field(f).alias(f) for f in fields))
     return picked.select(
         *keys,
         *(

@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from storefront.functions.binding import settled
 from storefront.operators import nodes as node_ops
-from storefront.operators.cards import PAGE_NAME_SELS, has_card, listing_cards, listings_of, pages_in_result
-from storefront.operators.nodes import Interest, Sel, parse_nodes
-from storefront.operators.rules import LISTING_RULES, listing_fields, pick_first_rows, tel_value
+from storefront.operators.cards import has_card, listing_cards, listings_of, pages_in_result
+from storefront.operators.nodes import Interest, Sel, html_nodes, interest_of, node_text, parse_nodes, select_nodes
+from storefront.operators.rules import LISTING_RULES, listing_fields, pick_first_rows, rules_interest, tel_value
 
 CARD = (
     '<div class="VkpGBb"><div class="dbg0pd" role="heading"><span class="OSrXXb">Cafe A</span></div></div>'
@@ -134,8 +135,8 @@ def test_pick_over_rows_is_by_priority_then_position(spark):
 
 def test_node_ranges_and_texts():
     page = '<ul><li>a<li>b <b>c</b></ul><p>d<p>e<br>f<!-- <x> --><script>"<i>"</script><title>&amp;</title>'
-    nodes = parse_nodes(page, Interest())
-    assert [(n["tag"], n["node"], n["last"], n["text"]) for n in nodes] == [
+    text, nodes = parse_nodes(page, Interest())
+    assert [(n["tag"], n["node"], n["last"], text[n["from"] : n["to"]].decode()) for n in nodes] == [
         ("ul", 0, 3, "ab c"), ("li", 1, 1, "a"), ("li", 2, 3, "b c"), ("b", 3, 3, "c"),
         ("p", 4, 4, "d"), ("p", 5, 8, 'ef"<i>"&'), ("br", 6, 6, ""), ("script", 7, 7, '"<i>"'), ("title", 8, 8, "&"),
     ]
@@ -146,7 +147,7 @@ def test_node_ranges_and_texts():
 
 def test_interest_keeps_numbers_and_drops_the_rest():
     page = '<div><p class="x y" id="1" data-z="q&amp;r">t</p><a href="/u?a=1&copy=2">l</a></div>'
-    nodes = parse_nodes(page, Interest(classes=frozenset(["y"]), attrs=frozenset(["href"]), shown=frozenset(["data-z"])))
+    _, nodes = parse_nodes(page, Interest(classes=frozenset(["y"]), attrs=frozenset(["href"]), shown=frozenset(["data-z"])))
     assert [(n["node"], n["tag"], n["cls"], n["attrs"]) for n in nodes] == [
         (1, "p", ["x", "y"], [("data-z", "q&r")]),
         (2, "a", [], [("href", "/u?a=1&copy=2")]),
@@ -155,7 +156,60 @@ def test_interest_keeps_numbers_and_drops_the_rest():
 
 def test_hostile_pages_parse_in_linear_time():
     for page in ("<" + "b " * 200_000 + ">t", "<script " * 20_000, "<!--" * 20_000, "<div>" * 20_000, "</p>" * 50_000, "<b>" * 150_000 + "</i>" * 150_000):
-        assert len(parse_nodes(page, Interest(tags=frozenset(["none"])))) == 0
+        assert len(parse_nodes(page, Interest(tags=frozenset(["none"])))[1]) == 0
+
+
+def test_deep_nesting_gives_output_in_proportion(spark):
+    """Half a megabyte of nested elements, all of interest to the rules: parsed and decided in linear time."""
+    import time
+
+    def size(count):
+        text, nodes = parse_nodes('<p class="OYzgjc">' + "<div>x" * count, rules_interest(LISTING_RULES))
+        return len(text) + sum(len(str(n)) for n in nodes)
+
+    assert size(20_000) < 2.2 * size(10_000) and size(10_000) < 4_000_000
+    page = '<p class="OYzgjc"><p class="rllt__details">' + "<div>x" * 83_000
+    start = time.perf_counter()
+    assert len(parse_nodes(page, rules_interest(LISTING_RULES))[1]) == 83_002
+    assert time.perf_counter() - start < 2
+    rows = spark.createDataFrame([(0, 0, 0, URL, None, page + " · 0123456789")], SCHEMA)
+    assert listing_fields(rows, ["idx"]).first()["phone"] == "0123456789"
+    start = time.perf_counter()
+    assert listing_fields(rows, ["idx"]).first()["name"] == ""
+    assert time.perf_counter() - start < 20
+
+
+def test_offsets_leave_out_outer_space():
+    page = "<p>\n \u00a0<b> \u3000é x\ufeff </b></p><i> \n</i><u></u><s>y</s>"
+    text, nodes = parse_nodes(page, Interest())
+    assert [text[n["head"] : n["tail"]].decode() for n in nodes] == ["é x", "é x", "", "", "y"]
+    assert [text[n["from"] : n["to"]].decode() for n in nodes][1] == " \u3000é x\ufeff "
+
+
+def test_ancestors_at_any_depth(spark):
+    deep = Sel("b", within=Sel(classes=("in",), within=Sel("div", attrs=(("id", "=", "top"),), without=("off",))))
+    html = (
+        '<div id="top"><p><i class="in"><u><b>yes</b></u></i><b>no</b></p></div><i class="in"><b>no</b></i>'
+        '<div id="top" class="off"><i class="in"><b>no</b></i></div><b class="in">no</b>'
+    )
+    rows = spark.createDataFrame([(1, html)], "id int, html string")
+    page = settled(rows.select(html_nodes(F.col("html"), interest_of([deep])).alias("_page")))
+    found = page.select(F.transform(select_nodes("_page.nodes", [deep]), lambda n: node_text(n, F.col("_page"))).alias("t"))
+    assert found.first().t == ["yes"]
+
+
+def test_phone_at_the_end_of_any_text(fields):
+    far = "x" * 300
+    cases = [
+        (None, f'<p class="OYzgjc"><div>{text}</div></p>')
+        for text in (
+            f"{far} · 0123456789", f"{far} ·{' ' * 300}0123456789", f"{far} ·  12345", f"·{' ' * 300}12345",
+            "漢" * 100 + "· 0123456", f"{far} 0123456789", f"· {'1' * 21}", f"{far}· 01 · 2345678",
+        )
+    ]
+    assert _column(fields(*cases), 2) == [
+        "0123456789", "0123456789", "12345", "12345", "0123456", "", "", "2345678",
+    ]
 
 
 RESULT = "query_ord int, page_no int, url string, html string"
@@ -175,7 +229,7 @@ def test_cards_of_the_first_kind_with_any_hit(spark):
             (1, 1, "<p data-rc>g</p><p data-rc='2'>h</p>"),
         ],
     )
-    cards = [tuple(r) for r in listing_cards(pages).orderBy("query_ord", "page_no", "idx").collect()]
+    cards = [tuple(r) for r in listing_cards(pages, names=()).orderBy("query_ord", "page_no", "idx").collect()]
     assert cards == [
         (0, 0, 0, 1, '<div class="VkpGBb">a</div>'),
         (0, 0, 1, 1, '<div class="q VkpGBb">b<i>c</i></div>'),
@@ -199,6 +253,33 @@ def test_result_ends_at_its_first_page_without_cards(spark):
     )
     kept = sorted((r.query_ord, r.page_no) for r in pages_in_result(pages).collect())
     assert kept == [(0, 0), (2, 0), (2, 1)]
+    assert sorted((r.query_ord, r.page_no) for r in listing_cards(pages).collect()) == kept
+
+
+def test_cards_told_by_what_they_stand_under(spark):
+    sels = (Sel("li", within=Sel(classes=("results",))), Sel("p", without=("ad",)))
+    pages = _pages(
+        spark,
+        [
+            (0, 0, '<ul class="results"><li>a<li>b</ul><li>no'), (0, 1, '<p class="ad">no</p><p>c</p>'),
+            (0, 2, '<p class="ad">no</p><li>no'), (0, 3, "<p>late</p>"), (1, 0, "<ul><li>no</ul>"),
+        ],
+    )
+    cards = [tuple(r) for r in listing_cards(pages, sels=sels, names=()).orderBy("query_ord", "page_no", "idx").collect()]
+    assert cards == [(0, 0, 0, 1, "<li>a"), (0, 0, 1, 1, "<li>b"), (0, 1, 0, 2, "<p>c</p>")]
+    assert sorted((r.query_ord, r.page_no) for r in pages_in_result(pages, sels=sels).collect()) == [(0, 0), (0, 1)]
+    with pytest.raises(ValueError):
+        has_card(F.col("html"), sels)
+
+
+def test_pages_are_read_once_and_not_shuffled(spark, tmp_path):
+    """The cards of a stored table: what is planned after the one pass holds neither a scan nor a page."""
+    path = str(tmp_path / "pages")
+    _pages(spark, [(q, p, f'<div class="VkpGBb">{p}</div>' + "x" * 500) for q in range(3) for p in range(20)]).write.parquet(path)
+    cards = listing_cards(spark.read.parquet(path), keep=["url"])
+    plan = cards._jdf.queryExecution().executedPlan().toString()
+    assert cards.count() == 60
+    assert "FileScan" not in plan and " html" not in plan.replace("card_html", "") and "ArrowEvalPython" not in plan
 
 
 def test_a_result_with_most_pages_is_split(spark):
@@ -242,9 +323,10 @@ def test_listings_from_pages_and_panels(spark):
     panels = spark.createDataFrame([(0, 0, 1, "<i>panel b</i>")], "query_ord int, page_no int, idx int, panel_html string")
     rows = sorted(tuple(r) for r in listings_of(pages, panels).collect())
     assert rows == [
-        (0, 0, 0, URL, '<p class="VkpGBb">a</p>', None),
-        (0, 0, 1, URL, '<p class="VkpGBb">b</p>', "<i>panel b</i>"),
+        (0, 0, 0, URL, '<p class="VkpGBb">a</p>', None, None, 0),
+        (0, 0, 1, URL, '<p class="VkpGBb">b</p>', "<i>panel b</i>", None, 0),
     ]
+    assert listings_of(pages, panels, names=()).columns == ["query_ord", "page_no", "idx", "url", "card_html", "panel_html"]
 
 
 def _named(spark, html, panels):
@@ -254,7 +336,7 @@ def _named(spark, html, panels):
 
     keys = "query_ord int, page_no int, idx int, panel_html string"
     opened = spark.createDataFrame([(0, 0, idx, panel) for idx, panel in panels.items()], keys)
-    listings = listings_of(_pages(spark, [(0, 0, html)]), opened, PAGE_NAME_SELS)
+    listings = listings_of(_pages(spark, [(0, 0, html)]), opened)
     rows = build_directory(listings, spark.createDataFrame([], PAGES), with_contacts=False)
     return {r.idx: r.name for r in rows.collect()}
 
@@ -297,8 +379,8 @@ def test_flag_agrees_with_the_parser(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for sels in ((Sel("a", attrs=(("href", "*=", "è"),)),), (Sel("div", classes=("ad",)),), (Sel("h4"),)):
         nodes = node_ops.html_nodes(F.col("html"), node_ops.interest_of(sels))
-        both = pages.select(has_card(F.col("html"), sels).alias("flag"), nodes.alias("_nodes")).select(
-            "flag", (F.size(node_ops.select_nodes("_nodes", sels)) > 0).alias("parsed")
+        both = pages.select(has_card(F.col("html"), sels).alias("flag"), nodes.alias("_page")).select(
+            "flag", (F.size(node_ops.select_nodes("_page.nodes", sels)) > 0).alias("parsed")
         )
         assert both.where("flag <> parsed").count() == 0
 
