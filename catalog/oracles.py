@@ -515,6 +515,21 @@ SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) <= {DEEP_LIMIT}""",
     "page_quota_deep": _page_quota("orders", "o_orderstatus", "o_orderkey", "o_totalprice", 150000, DEEP_QUOTA),
     "page_quota_many": _page_quota("orders", "o_orderstatus", "o_orderkey", "o_totalprice", 10000, MANY_QUOTA),
+    "batch_tables": """
+WITH cities AS (
+  SELECT n_nationkey AS city_ord, 'NATION_' || n_nationkey AS city FROM nation
+  UNION ALL SELECT r_regionkey + 1000, r_name FROM region),
+rows AS (
+  SELECT c_nationkey AS city_ord, c_custkey, CASE WHEN c_acctbal > 0 THEN c_name ELSE 'N/A' END AS "Name",
+         'https://c' || c_custkey || '.test/' AS "Website",
+         CASE WHEN c_acctbal > 5000 THEN 'me@c' || c_custkey || '.test' ELSE '' END AS "Email",
+         concat_ws(', ', c_name, c_mktsegment, 'NATION_' || c_nationkey, c_name) AS "Address"
+  FROM customer)
+SELECT CAST(cities.city_ord AS INTEGER) AS city_ord, city,
+       array_to_string(list_transform(string_split(city, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS sheet,
+       count(c_custkey) OVER (PARTITION BY cities.city_ord) AS n,
+       c_custkey, "Name", "Website", "Email", "Address"
+FROM cities LEFT JOIN rows ON rows.city_ord = cities.city_ord""",
     "city_order": f"""
 WITH {_CUSTOMERS}
 SELECT city_ord, name AS city, c_custkey, c_name
@@ -538,6 +553,16 @@ SELECT c_custkey, website AS website_link,
        CASE WHEN email <> '' THEN 'mailto:' || email END AS email_link
 FROM businesses""",
     "export_rows": _export(),
+    "listing_rules": """
+WITH listings AS (
+  SELECT CAST(page_id AS INTEGER) AS page_no, CAST(unnest(range(3)) AS INTEGER) AS idx FROM pages),
+keyed AS (SELECT *, page_no * 3 + idx AS key FROM listings)
+SELECT 0 AS query_ord, page_no, idx,
+       'n' || (['1', '5', '6', '7'])[(page_no + idx) % 4 + 1] || ' ' || key AS name,
+       'https://w' || ((page_no + idx) % 3 + 1) || '.test/' || key AS website,
+       (['1000000', '+2000000', '3000000', '4000000', '5000000'])[(page_no + idx * 2) % 5 + 1] || key AS phone,
+       (['1 Main St, ', '2 Long Road, ', '3 Pune, India ', '4 Hill, '])[(page_no // 4 + idx) % 4 + 1] || key AS address
+FROM keyed""",
     "directory_job": _directory_job(30),
     "directory_batch": _directory_batch(25),
 }

@@ -7,6 +7,7 @@ hit the data. The default lists are covered by the fixtures under ``tests``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,15 +29,17 @@ from storefront.functions.text import (
     utrim,
 )
 from storefront.functions.urls import is_listed, url_host, url_origin
+from storefront.materialize import shared_folder
 from storefront.operators import pages as page_ops
 from storefront.operators import rows as row_ops
 from storefront.operators import sites as site_ops
-from storefront.operators.cards import listing_cards
+from storefront.operators.cards import listing_cards, listings_of
 from storefront.operators.nodes import Sel, html_nodes, node_rows
 from storefront.operators.rules import (
     Rule,
     candidate_array,
     field_candidates,
+    listing_fields,
     pick_first,
     pick_first_rows,
     rules_interest,
@@ -434,6 +437,20 @@ def sheet_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.sheet_manifest(_cities(spark, sf_dir), _customers(spark, sf_dir))
 
 
+def batch_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: a folder per city and the manifest, written and read back; a city without rows is in the manifest alone."""
+    cities = _cities(spark, sf_dir)
+    order = F.col("ord").alias("city_ord")
+    rows = _businesses(spark, sf_dir).join(cities.select(order, F.concat(F.lit("NATION_"), "ord").alias("city")), "city")
+    named = cities.select("ord", F.when(F.col("ord") < 1000, F.concat(F.lit("NATION_"), "ord")).otherwise(F.col("city")).alias("city"))
+    path = f"{shared_folder(spark)}/batch-{uuid.uuid4()}"
+    export.write_batch(rows, named, path, ["city_ord", "c_custkey"])
+    tables = spark.read.schema("c_custkey long, Name string, Website string, Email string, Address string, city_ord int, sheet string")
+    written = tables.parquet(f"{path}/tables")
+    manifest = spark.read.parquet(f"{path}/manifest").select(F.col("city_ord").cast("int"), "city", "sheet", "n")
+    return manifest.join(written, ["city_ord", "sheet"], "left")
+
+
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _customers(spark, sf_dir).withColumn("name", F.col("c_mktsegment"))
     return export.run_status(_cities(spark, sf_dir), row_ops.dedup_counts(named, ["city"]))
@@ -510,6 +527,77 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _unless_above(chosen: Column, rule: int, *pieces: Column | str) -> Column:
+    """Markup of a rule, left out where a later rule is to win."""
+    markup = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in pieces))
+    return F.when(chosen <= rule, markup).otherwise("")
+
+
+def _kind(number: Column, *kinds: Column) -> Column:
+    return F.get(F.array(*kinds), F.pmod(number, F.lit(len(kinds))))
+
+
+def listing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5-E8 by every rule: for each field the page and the place choose which rule finds it first.
+
+    Each page stands for a result page of three cards, each with a panel. Elements for
+    later rules are there too, those for earlier rules are not; values tell their rule.
+    """
+    pages = _table(spark, sf_dir, "pages").select(
+        F.lit(0).alias("query_ord"), F.col("page_id").cast("int").alias("page_no"), "url"
+    )
+    page, idx = F.col("page_no"), F.col("idx")
+    cards = pages.withColumn("idx", F.explode(F.array(*map(F.lit, range(3)))))
+    key = (page * 3 + idx).cast("string")
+    name, website = F.pmod(page + idx, F.lit(4)), F.pmod(page + idx, F.lit(3)) + 1
+    phone, address = F.pmod(page + idx * 2, F.lit(5)) + 1, F.pmod(F.floor(page / 4) + idx, F.lit(4)) + 1
+
+    def tag(start: str, text: str, end: str) -> Column:
+        return F.concat(F.lit(f"{start}{text} "), key, F.lit(end))
+
+    panel = F.concat(
+        F.lit('<div class="panel">'),
+        _unless_above(
+            name, 1,
+            _kind(
+                page,
+                tag('<div class="SPZz6b"><span> </span><span>', "n5", "</span></div>"),
+                tag('<h2 data-attrid="title">', "n5", "</h2>"),
+                tag('<div class="qrShPb"><i><span>', "n5", "</span></i></div>"),
+            ),
+        ),
+        _unless_above(name, 2, tag('<h3 class="dbg0pd"><i class="OSrXXb">', "n6", "</i></h3>")),
+        _unless_above(website, 1, '<a class="n1obkb" href="https://w1.test/', key, '"><b class="aSAiSd">Website</b></a>'),
+        _unless_above(website, 2, '<a data-attrid="visit website" href="https://w2.test/', key, '">x</a>'),
+        _unless_above(website, 3, '<a aria-label="Website of it" href="https://w3.test/', key, '">x</a>'),
+        _unless_above(phone, 1, '<b data-phone-number="1000000', key, '"></b>'),
+        _unless_above(phone, 2, '<a href="tel:+2000000', key, '">x</a>'),
+        _unless_above(phone, 3, '<b aria-label="Call 3000000', key, ' now"></b>'),
+        _unless_above(phone, 4, '<div class="C9waJd"> 4000000', key, " </div>"),
+        _unless_above(phone, 5, '<div class="rllt__details"><div>Open · 5000000', key, "</div></div>"),
+        _unless_above(address, 1, '<div class="C9waJd y7xX3d">Address: 1 Main St, ', key, "</div>"),
+        _unless_above(address, 2, '<p jsname="eSHGZ">9:00, Monday morning</p><p jsname="eSHGZ">2 Long Road, ', key, "</p>"),
+        _unless_above(address, 3, '<div class="nICndb">\u20663 Pune, India ', key, "\u2069</div>"),
+        _unless_above(address, 4, '<p data-attrid="kc:/address"><i class="LrzXr">4 Hill, ', key, "</i></p>"),
+        F.lit("</div>"),
+    )
+    panels = cards.select("query_ord", "page_no", "idx", panel.alias("panel_html"))
+
+    def card(place: int) -> Column:
+        number = (page * 3 + place).cast("string")
+        named = F.concat(
+            _kind(page, F.lit('<b class="OSrXXb">'), F.lit('<b class="dbg0pd">'), F.lit('<b role="heading">')),
+            F.lit("n1 "), number, F.lit("</b>"),
+        )
+        chosen = F.pmod(page + place, F.lit(4)) == 0
+        return F.concat(F.lit('<div class="VkpGBb">'), F.when(chosen, named).otherwise("card"), F.lit("</div>"))
+
+    top = [F.concat(F.lit('<i class="OSrXXb">n7 '), (page * 3 + place).cast("string"), F.lit("</i>")) for place in range(3)]
+    html = F.concat(*top, *(card(place) for place in range(3)))
+    listings = listings_of(pages.withColumn("html", html), panels)
+    return listing_fields(listings, ["query_ord", "page_no", "idx"])
+
+
 def directory_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry 1: E5-E8, L2, A1, F1, F9, J1, J2 in one job."""
     pages = _contactable(_table(spark, sf_dir, "pages"))
@@ -574,11 +662,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_quota_many": page_quota_many,
     "city_order": city_order,
     "sheet_manifest": sheet_manifest,
+    "batch_tables": batch_tables,
     "run_status": run_status,
     "batch_totals": batch_totals,
     "column_widths": column_widths,
     "export_links": export_links,
     "export_rows": export_rows,
+    "listing_rules": listing_rules,
     "directory_job": directory_job,
     "directory_batch": directory_batch,
 }

@@ -3,7 +3,8 @@
 The text is cut at every ``&``; each piece is looked at once, so a decoded
 ``&`` is never decoded again. The names come from the standard library's tables.
 Numeric references are all decoded, and so are all names of HTML 5: the table is
-a literal in the plan, folded into one map when the query is planned.
+a literal in the plan, folded into maps by first letter when the query is planned.
+A map is searched from its beginning, so the names that texts are full of come first.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from storefront.functions.binding import let
 ALL_NAMES: Mapping[str, str] = html5
 # Names that also count without the closing semicolon, longest first.
 _BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+# Searched first, in this order.
+_FREQUENT = ("amp", "nbsp", "lt", "gt", "quot", "copy", "middot", "eacute", "agrave", "uuml", "ouml", "auml", "szlig")
 _NUMBER = "^#(?:0*([0-9]+)|[xX]0*([0-9a-fA-F]+));?"
 _NAMED = "^([a-zA-Z][a-zA-Z0-9]*;)"
 _REPLACEMENT = "\ufffd"
@@ -27,6 +30,15 @@ _REPLACEMENT = "\ufffd"
 _WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
 
 
+def _by_letter(names: Mapping[str, str]) -> dict[str, dict[str, str]]:
+    """The names in maps by their first letter, frequent ones first."""
+    rank = {name: n for n, name in enumerate(_FREQUENT)}
+    maps: dict[str, dict[str, str]] = {}
+    for name in sorted(names, key=lambda n: (rank.get(n.rstrip(";"), len(rank)), n)):
+        maps.setdefault(name[0], {})[name] = names[name]
+    return maps
+
+
 def _decoder(in_attribute: bool, names: Mapping[str, str]) -> str:
     """SQL lambda that decodes the piece after each ``&``; the piece before the first stays.
 
@@ -50,11 +62,12 @@ def _decoder(in_attribute: bool, names: Mapping[str, str]) -> str:
              ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END"""
 
     def by_name(pattern: str, known: Mapping[str, str]) -> str:
-        table = json.dumps(known).replace("'", "\\u0027")
+        table = json.dumps(_by_letter(known)).replace("'", "\\u0027")
         return f"""
         transform(array(regexp_extract(piece, r'{pattern}', 1)),
                   name -> CASE WHEN name <> '' THEN
-                    concat(try_element_at(from_json(r'{table}', 'map<string,string>'), name),
+                    concat(try_element_at(try_element_at(
+                             from_json(r'{table}', 'map<string,map<string,string>>'), left(name, 1)), name),
                            substr(piece, length(name) + 1)) END)[0]"""
 
     return f"""(piece, i) -> CASE

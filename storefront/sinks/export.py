@@ -53,9 +53,11 @@ def in_city_order(
 
     A city without rows stays as one row of nulls. The rows meet the list in an
     inner join, where a city with a great share of them can be spread; the empty
-    cities are added from the list.
+    cities are added from the list. What makes the rows runs once: they are written
+    before both of these read them.
     """
     listed = distinct_cities(cities).withColumnRenamed("city", city)
+    rows = materialize(rows)
     payload = rows.drop("city_ord")
     filled = spread_join(payload, listed, [city], spread=order, how="inner")
     empty = listed.join(rows.select(city).distinct(), city, "left_anti")
@@ -143,8 +145,8 @@ def write_table(
     """One table, rows in the stated order over the files of ``path``.
 
     Without rows nothing is written; the result tells. The rows are looked at
-    more than once (any at all, range bounds, output), so they are materialized
-    first where the session has a checkpoint folder.
+    more than once (any at all, range bounds, output), so what makes them runs
+    once, into the shared folder.
     """
     rows = materialize(rows)
     if rows.isEmpty():

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storefront.functions.text import expand_template, utrim
+from storefront.materialize import materialize
 from storefront.params import check_template
 
 
@@ -26,11 +27,29 @@ def city_lists(files: DataFrame, by: Sequence[str], text: str) -> DataFrame:
 
 
 def read_cities(spark: SparkSession, path: str) -> DataFrame:
-    """``(ord, city)`` of a UTF-8 text file; a file without a city is an error."""
-    cities = city_lists(spark.read.text(path, wholetext=True), [], "value")
+    """``(ord, city)`` of UTF-8 text, files in order of their paths; no city at all is an error.
+
+    A file is read in splits. A line's place is that of its split in the file and its
+    own in the split; the cities of each split are counted, so ``ord`` counts from 0
+    over all of them and no task reads a whole file.
+    """
+    city, at = utrim(F.col("value")), F.col("_metadata")
+    lines = spark.read.text(path, lineSep="\n").select(
+        at["file_path"].alias("_file"),
+        at["file_block_start"].alias("_start"),
+        F.monotonically_increasing_id().alias("_line"),
+        city.alias("city"),
+    )
+    cities = materialize(lines.where((F.col("city") != "") & ~F.col("city").startswith("#")))
     if cities.isEmpty():
         raise ValueError("the city list is empty: one city per line is expected")
-    return cities
+    split = ["_file", "_start"]
+    # a row for each split
+    counts = cities.groupBy(*split).agg(F.count("*").alias("_n"))
+    before = counts.select(*split, (F.sum("_n").over(Window.orderBy(*split)) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*split).orderBy("_line")) - 1
+    placed = cities.withColumn("_inside", inside).join(before, split)
+    return placed.select((F.col("_before") + F.col("_inside")).cast("int").alias("ord"), "city")
 
 
 def distinct_cities(cities: DataFrame) -> DataFrame:

@@ -80,6 +80,31 @@ def test_city_order(spark):
     assert out == [(0, "Z", 0), (0, "Z", 2), (1, "A", 0), (1, "A", 1), (3, "M", None)]
 
 
+def _counted(spark, rows):
+    """``rows`` and a counter of how often one of them is computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return rows.mapInArrow(count, rows.schema), seen
+
+
+def test_rows_are_computed_once(spark, tmp_path):
+    """For the order of cities, a single table and a batch, whatever reads them how often."""
+    rows = _rows(spark, [(n % 2, "AB"[n % 2], n, {"name": f"n{n}"}) for n in range(50)])
+    cities = _cities(spark, ["A", "B", "C"])
+    counted, seen = _counted(spark, rows)
+    assert export.in_city_order(cities, counted, ["ord"]).count() == 51 and seen.value == 50
+    counted, seen = _counted(spark, rows)
+    assert export.write_table(counted, str(tmp_path / "one"), ["ord"]) and seen.value == 50
+    counted, seen = _counted(spark, rows)
+    export.write_batch(counted, cities, str(tmp_path / "many"), ["city_ord", "ord"])
+    assert seen.value == 50
+
+
 def test_single_table_files(spark, tmp_path):
     rows = _rows(spark, [(0, "A", i, {"name": f"n{i:02d}"}) for i in range(30)])
     path = str(tmp_path / "one")

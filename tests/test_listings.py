@@ -387,3 +387,15 @@ def test_flag_agrees_with_the_parser(spark):
 
 def test_default_rules_cover_the_four_fields():
     assert {r.field for r in LISTING_RULES} == {"name", "website", "phone", "address"}
+
+
+def test_every_rule_gives_values_in_the_registered_query(spark):
+    """The value tells the rule that found it: all sixteen do, each on a share of the rows."""
+    from catalog.queries import listing_rules
+
+    told = {"name": r"^n(\d)", "website": r"//w(\d)", "phone": r"^\+?(\d)", "address": r"^(\d)"}
+    rows = listing_rules(spark, "/root/testdata/sf0.001").cache()
+    for field, pattern in told.items():
+        counts = {r.rule: r["count"] for r in rows.groupBy(F.regexp_extract(field, pattern, 1).alias("rule")).count().collect()}
+        assert counts.keys() == {str(r.pri) for r in LISTING_RULES if r.field == field}
+        assert min(counts.values()) >= 20

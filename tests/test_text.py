@@ -111,6 +111,33 @@ def test_city_list_without_a_city_is_an_error(spark, tmp_path):
         read_cities(spark, str(path))
 
 
+def test_a_city_file_read_in_many_splits(spark, tmp_path):
+    """Lines, also those cut by the end of a split, keep their order, blanks and comments do not count."""
+    lines, cities = [], []
+    for n in range(4000):
+        name = f"City {n % 700} é{'x' * (n % 40)}"
+        lines += [f"  {name} \r", "", "# not " + name, " \u00a0"][: 1 + n % 4]
+        cities.append(name)
+    path = tmp_path / "cities.txt"
+    path.write_bytes("\n".join(lines).encode())
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 8
+        rows = read_cities(spark, str(path))
+        assert [tuple(r) for r in rows.orderBy("ord").collect()] == list(enumerate(cities))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_several_city_files_in_order_of_their_paths(spark, tmp_path):
+    for name, text in (("b.txt", "C\nD"), ("a.txt", "A\r\n\r\nB\r\n"), ("c.txt", "# none\n")):
+        (tmp_path / name).write_text(text)
+    assert [tuple(r) for r in read_cities(spark, str(tmp_path)).orderBy("ord").collect()] == [(0, "A"), (1, "B"), (2, "C"), (3, "D")]
+
+
 def test_many_city_lists(spark):
     files = spark.createDataFrame([(1, "a\n#b\nc"), (2, "\r\n"), (3, None)], "f int, t string")
     rows = sorted(tuple(r) for r in city_lists(files, ["f"], "t").collect())
