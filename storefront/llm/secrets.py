@@ -1,11 +1,16 @@
 """Secrets in texts: fixed patterns, and values that would be dear to guess.
 
 Three patterns find what looks like a secret. Beyond them, values that stand in a
-credential context (``password is ...``, ``<secret>...``) are judged by the price
-of guessing them: the cheapest way to cut the value into words, dates, repeats,
+credential context (``password is ...``, ``<secret>...``, ``--token ...``, ``Bearer
+...``, the user part of a URL, a private key block) are judged by the price of
+guessing them: the cheapest way to cut the value into words, dates, repeats,
 keyboard walks and spans of brute force, by dynamic programming over its
 characters. A value dearer than ``min_bits`` is a secret; ``changeme123`` is not.
 
+Words are known ones by their rank, and, at the price of a large dictionary, whatever
+reads like a word of some language; several such words with blanks between are prose,
+which has one price. So ``the password is incorrect`` holds no secret.
+
 Defined cases: a null or empty text has no spans; whole texts are read whatever
 their length; rows repeat as they come; extra columns are not read.
 """
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -37,8 +43,18 @@ CONTEXT = re.compile(
     r"""(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"'<>]+))""",
     re.ASCII | re.IGNORECASE,
 )
+#: What follows an option of a command, a bearer's word, or a user name in a URL.
+OPTION = re.compile(
+    r"""(?<![\w-])--?(?:pass(?:word|wd|phrase)?|pwd|token|secret|(?:api|access|private|secret)[_-]?key|auth[_-]?token)"""
+    r"""(?:=|[\x20\t]++)(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"'<>-][^\s"'<>]*+))""",
+    re.ASCII | re.IGNORECASE,
+)
+BEARER = re.compile(r"(?<![a-z])bearer[\x20\t]++([a-z0-9._~+/=-]++)", re.ASCII | re.IGNORECASE)
+USER = re.compile(r"://[^\s:/@\"'<>]*+:([^\s@/\"'<>]++)@")
+KEY_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+KEY_END = re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
 #: A text without any of these (in lower case) has no credential context.
-HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "auth", "api", "access", "private")
+HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "auth", "api", "access", "private", "://")
 
 #: Common words of passwords and placeholders, the commonest first.
 WORDS = (
@@ -62,6 +78,11 @@ SEGMENT_BITS = 2.0  # which kind of segment comes next
 WORD_MAX = 16
 UNIT_MAX = 16
 YEARS = 150
+#: Bits of a word of some language, and of a sentence, and the letters a word has.
+ANY_WORD_BITS, PROSE_BITS, ANY_WORD = 17.0, 30.0, (4, 22)
+_LETTERS = re.compile(r"[^\W\d_]++")
+_PROSE = re.compile(r"[^\W\d_]++(?:[,;:]?\x20[^\W\d_]++){2,}+[.!?]?")
+_CLUSTER = re.compile(r"[^aeiouy]{5}|[aeiouy]{4}")
 
 DATE = re.compile(
     r"(?=(?P<ymd>(?:19|20)\d\d(?P<s>[-/._]?)(?:0[1-9]|1[0-2])(?P=s)(?:0[1-9]|[12]\d|3[01]))?)"
@@ -92,6 +113,25 @@ def word_bits(word: str, ranks: dict[str, int]) -> float | None:
     return None
 
 
+def reads_like_a_word(letters: str) -> bool:
+    """Whether letters can be said: of one case, with vowels, and no long run without or of them."""
+    if not (letters.islower() or letters.isupper() or letters.istitle()):
+        return not letters[:1].isascii() and letters.isalpha()  # scripts without case
+    plain = "".join(c for c in unicodedata.normalize("NFD", letters.lower()) if not unicodedata.combining(c))
+    vowels = sum(c in "aeiouy" for c in plain)
+    return not plain.isascii() or (5 * vowels >= len(plain) and not _CLUSTER.search(plain))
+
+
+def prose(value: str) -> Iterator[tuple[int, int, float]]:
+    """Words of some language between other characters, and rows of three and more of them."""
+    for m in _LETTERS.finditer(value):
+        if ANY_WORD[0] <= len(m[0]) <= ANY_WORD[1] and reads_like_a_word(m[0]):
+            yield m.start(), m.end(), ANY_WORD_BITS
+    for m in _PROSE.finditer(value):
+        if all(len(w) <= ANY_WORD[1] and (len(w) < ANY_WORD[0] or reads_like_a_word(w)) for w in _LETTERS.findall(m[0])):
+            yield m.start(), m.end(), PROSE_BITS
+
+
 def walks(value: str) -> Iterator[tuple[int, int, float]]:
     """From each start, the longest run of neighbouring keys, if over three."""
     low = value.lower().translate(SHIFTED) if value.isascii() else ""
@@ -147,6 +187,7 @@ def segments(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, floa
                 yield found.start(), found.start() + len(text), math.log2(YEARS * days) + sep
     yield from repeats(value, ranks)
     yield from walks(value)
+    yield from prose(value)
 
 
 def guess_bits(value: str, ranks: dict[str, int]) -> float:
@@ -170,17 +211,37 @@ def word_ranks(words: tuple[str, ...]) -> dict[str, int]:
     return ranks
 
 
+def contexts(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of all values in a credential context; some may come twice."""
+    for pattern in (CONTEXT, OPTION):
+        for m in pattern.finditer(text):
+            group = m.lastindex
+            value = m[group] if group < 3 else m[group].rstrip(",;.)]}")
+            yield m.start(group), m.start(group) + len(value)
+    for m in BEARER.finditer(text):
+        yield m.start(1), m.start(1) + len(m[1].rstrip("."))
+    for m in USER.finditer(text):
+        yield m.span(1)
+    at = 0
+    while begin := KEY_BEGIN.search(text, at):
+        end = KEY_END.search(text, begin.end())
+        if end is None:
+            break
+        yield begin.start(), end.end()
+        at = end.end()
+
+
 def find_spans(text: str, min_bits: float, ranks: dict[str, int]) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in order; code points, end exclusive."""
     spans = []
     low = text.lower()
     if any(hint in low for hint in HINTS):
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-        for m in CONTEXT.finditer(text):
-            group = m.lastindex
-            value = m[group] if group < 3 else m[group].rstrip(",;.)]}")
-            if value and guess_bits(value, ranks) >= min_bits:
-                spans.append((m.start(group), 3, m.start(group) + len(value)))
+        reach = 0  # a value within one that is a secret is part of it
+        for start, end in sorted(set(contexts(text)), key=lambda x: (x[0], -x[1])):
+            if max(start, reach) < end and guess_bits(text[start:end], ranks) >= min_bits:
+                spans.append((start, 3, end))
+                reach = end
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
