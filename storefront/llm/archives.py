@@ -31,10 +31,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storefront.llm.common import cut, shared_folder
+from storefront.llm.common import cut, shared_folder, stored
 
 MIN_REVISIT = 1000
 RECORDS_PER_FILE = 1000
@@ -44,6 +44,10 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 STAMP = "20010101000000"
+# The beginning of a record line: URL, address, date.
+_ARC_LINE = re.compile(rb"\n[a-z][a-z0-9+.-]{0,20}:[^\n]{0,4000} [0-9a-fA-F.:]{3,45} \d{8,14} [^\n]{0,200}\d\r?\n", re.IGNORECASE)
+#: Bytes of an archive that are inflated at a time.
+INFLATED = 1 << 22
 CRLF = b"\r\n"
 
 
@@ -84,34 +88,70 @@ def arc_bytes(version: int, records: list[tuple[str | None, bytes]], stamp: str
     return b"".join(out)
 
 
-def read_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records after the version block, cut by their declared lengths."""
+@dataclass
+class BadRecord:
+    """Bytes of an archive that are no record: where they begin, and why."""
+
+    place: int
+    reason: str
+
+
+def _record_fields(line: str, names: list[str]) -> dict[str, str]:
+    """The fields of a record line by name; blanks beyond their number belong to the URL, which comes first."""
+    parts = line.split(" ")
+    if len(parts) < len(names):
+        raise ValueError(f"{len(parts)} fields, the version block names {len(names)}")
+    extra = len(parts) - len(names) + 1
+    fields = dict(zip(names, [" ".join(parts[:extra]), *parts[extra:]]))
+    if not re.fullmatch(r"\d{8,14}", fields["archive-date"], re.ASCII):
+        raise ValueError(f"the fields have no date: {line[:200]}")
+    return fields
+
+
+def scan_arc(data: bytes) -> Iterator[ArcRecord | BadRecord]:
+    """The records after the version block, cut by their declared lengths.
+
+    After bytes that are no record reading goes on at the next line that could begin one.
+    """
     at, names, version = 0, [], 0
     while at < len(data):
         end = data.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"no line end after byte {at}")
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-        if not line:
+        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
+        if not line and end >= 0:
             at = end + 1
             continue
-        parts = line.split(" ")
-        length = int(parts[-1])
-        payload = data[end + 1 : end + 1 + length]
-        if len(payload) != length:
-            raise ValueError(f"record at byte {at} declares {length} bytes, {len(payload)} are left")
+        try:
+            if end < 0:
+                raise ValueError(f"no line end after byte {at}")
+            length = int(line.rsplit(" ", 1)[-1])
+            payload = data[end + 1 : end + 1 + length]
+            if length < 0 or len(payload) != length:
+                raise ValueError(f"record at byte {at} declares {length} bytes, {len(payload)} are left")
+            if line.startswith("filedesc:"):
+                head, names_line = payload.decode("utf-8", "replace").split("\n")[:2]
+                version, names = int(head.split(" ")[0]), names_line.lower().split()
+                if version not in FIELDS:
+                    raise ValueError(f"ARC version {version}")
+            elif not names:
+                raise ValueError("a record before the version block")
+            else:
+                yield ArcRecord(version, _record_fields(line, names), payload)
+        except ValueError as error:
+            yield BadRecord(at, str(error))
+            found = _ARC_LINE.search(data, end) if end >= 0 else None
+            at = len(data) if found is None else found.start() + 1
+            continue
         at = end + 1 + length
         if at < len(data) and data[at : at + 1] == b"\n":
             at += 1
-        if parts[0].startswith("filedesc:"):
-            head, names_line = payload.decode("utf-8", "replace").split("\n")[:2]
-            version, names = int(head.split(" ")[0]), names_line.lower().split()
-            if version not in FIELDS:
-                raise ValueError(f"ARC version {version}")
-        else:
-            if len(parts) != len(names):
-                raise ValueError(f"{len(parts)} fields, the version block names {len(names)}")
-            yield ArcRecord(version, dict(zip(names, parts)), payload)
+
+
+def read_arc(data: bytes) -> Iterator[ArcRecord]:
+    """The records of ``scan_arc``; bytes that are none are an error."""
+    for record in scan_arc(data):
+        if isinstance(record, BadRecord):
+            raise ValueError(record.reason)
+        yield record
 
 
 def iso_date(stamp: str) -> str:
@@ -128,6 +168,35 @@ def record_id(page_id: int | None, digest: bytes) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest.hex()}')}>"
 
 
+def http_body(payload: bytes) -> bytes:
+    """What follows the head of an HTTP response; all of a payload that has none."""
+    if not payload.startswith(b"HTTP/"):
+        return payload
+    ends = [at + len(gap) for gap in (b"\r\n\r\n", b"\n\n") if (at := payload.find(gap)) >= 0]
+    return payload[min(ends) :] if ends else b""
+
+
+def captured_warc(record: ArcRecord, file: str, place: int) -> WarcRecord:
+    """The WARC record of one from a crawl: its block as it is, with the digest of the payload in it.
+
+    Look-ups of names are resources; what an HTTP server sent is a response with its head.
+    """
+    scheme = record.fields["url"].split(":", 1)[0].lower()
+    http = scheme in ("http", "https")
+    headers = {
+        "WARC-Type": "response" if http else "resource",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}/{place}/{hashlib.sha1(record.payload).hexdigest()}')}>",
+        "WARC-Date": iso_date(record.fields["archive-date"]),
+        "WARC-Target-URI": arc_url(record.fields["url"]),
+        "WARC-IP-Address": record.fields["ip-address"],
+        "WARC-Block-Digest": digest_header(hashlib.sha1(record.payload).digest()),
+        "WARC-Payload-Digest": digest_header(hashlib.sha1(http_body(record.payload) if http else record.payload).digest()),
+        "Content-Type": "application/http; msgtype=response" if http and record.payload.startswith(b"HTTP/") else record.fields["content-type"],
+        "X-Arc-Version": str(record.version),
+    }
+    return WarcRecord(headers, record.payload)
+
+
 def to_warc(record: ArcRecord, page_id: int | None, refers_to: int | None) -> WarcRecord:
     """The WARC record of an ARC record; a revisit if it refers to another page."""
     digest = hashlib.sha1(record.payload).digest()
@@ -159,19 +228,45 @@ def warc_bytes(record: WarcRecord) -> bytes:
     return "\r\n".join(lines).encode() + CRLF * 2 + record.payload + CRLF * 2
 
 
-def read_warc(data: bytes) -> Iterator[WarcRecord]:
-    """The records of a file, cut by their declared lengths."""
-    at = 0
-    while at < len(data):
-        end = data.find(CRLF * 2, at)
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a gzip file in pieces of bounded size; it may have any number of members."""
+    while data:
+        member = zlib.decompressobj(wbits=31)
+        while data and not member.eof:
+            yield member.decompress(data, INFLATED)
+            data = member.unconsumed_tail
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+        data = member.unused_data.lstrip(b"\0")
+
+
+def read_warc(pieces: bytes | Iterator[bytes]) -> Iterator[WarcRecord]:
+    """The records of a file, cut by their declared lengths; one record is held at a time."""
+    source = iter([pieces] if isinstance(pieces, bytes) else pieces)
+    data, at, base = b"", 0, 0
+
+    def more() -> bool:
+        nonlocal data, at, base
+        piece = next(source, None)
+        if piece is not None:
+            data, at, base = data[at:] + piece, 0, base + at
+        return piece is not None
+
+    while at < len(data) or more():
+        if at == len(data):
+            continue
+        while (end := data.find(CRLF * 2, at)) < 0 and more():
+            pass
         if end < 0 or not data.startswith(b"WARC/1.", at):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {base + at}")
         lines = data[at:end].decode().split("\r\n")[1:]
         headers = dict(line.split(": ", 1) for line in lines)
-        length = int(headers.pop("Content-Length"))
-        start = end + 4
+        length, head = int(headers.pop("Content-Length")), end + 4 - at
+        while len(data) - at < head + length + 4 and more():
+            pass
+        start = at + head
         if data[start + length : start + length + 4] != CRLF * 2:
-            raise ValueError(f"record at byte {at} does not end after {length} bytes")
+            raise ValueError(f"record at byte {base + at} does not end after {length} bytes")
         yield WarcRecord(headers, data[start : start + length])
         at = start + length + 4
 
@@ -212,23 +307,17 @@ def warc_rows(pages: DataFrame) -> DataFrame:
 
 def write_warc(pages: DataFrame, folder: str) -> None:
     """All pages as WARC files in ``folder``."""
-    (
-        warc_rows(pages)
-        .write.option("lineSep", "\n")
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
-        .text(folder)
-    )
+    _write(warc_rows(pages), folder)
 
 
-def read_archives(spark, folder: str) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the WARC files in ``folder``, its digest verified where it has a payload."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[tuple] = []
-                for record in read_warc(zlib.decompress(content.as_buffer(), wbits=31)):
+                for record in read_warc(inflated(content.as_py())):
                     head = record.headers
                     digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:"))
                     revisit = head["WARC-Type"] == "revisit"
@@ -262,6 +351,62 @@ def read_archives(spark, folder: str) -> DataFrame:
     )
 
 
+def arc_records(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, place, record, url, record_type, payload_bytes, payload_digest, error`` of the ARC files in ``folder``.
+
+    Files may be gzip files of any number of members. ``record`` is the WARC record that
+    ``place`` (from 0) of a file becomes; where bytes are no record only ``error`` says why,
+    and the rest of the file is read on. A file that cannot be inflated is one such row.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        names = ["file", "place", "record", "url", "record_type", "payload_bytes", "payload_digest", "error"]
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                file, data = path.rsplit("/", 1)[-1], content.as_py()
+                try:
+                    data = b"".join(inflated(data)) if data.startswith(b"\x1f\x8b") else data
+                except (ValueError, zlib.error) as error:
+                    data, failed = b"", [(file, None, None, None, None, None, None, str(error))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*failed), kinds)], names)
+                rows, size = [], 0
+                for place, found in enumerate(scan_arc(data)):
+                    if isinstance(found, BadRecord):
+                        rows.append((file, place, None, None, None, None, None, found.reason))
+                        continue
+                    warc = captured_warc(found, file, place)
+                    digest = base64.b32decode(warc.headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                    body = http_body(found.payload) if warc.headers["WARC-Type"] == "response" else found.payload
+                    record = warc_bytes(warc)[:-1]
+                    rows.append((file, place, record, found.fields["url"], warc.headers["WARC-Type"], len(body), digest, None))
+                    size += len(record)
+                    if size > INFLATED:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{arc,arc.gz}").load(folder).select("path", "content")
+    return files.mapInArrow(
+        parse,
+        "file string, place long, record binary, url string, record_type string, payload_bytes long, payload_digest string, error string",
+    )
+
+
+def convert_archives(spark: SparkSession, folder: str, out: str) -> DataFrame:
+    """Writes the ARC files of ``folder`` as WARC files to ``out``; returns ``arc_records`` without the records."""
+    found = stored(arc_records(spark, folder))
+    records = found.where("record IS NOT NULL").select(F.col("record").cast("string").alias("record"))
+    _write(records, out)
+    return found.drop("record")
+
+
+def _write(records: DataFrame, folder: str) -> None:
+    writer = records.write.option("lineSep", "\n").option("compression", "gzip")
+    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+
+
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` as WARC files to the shared folder and reads them back, one row per record."""
     spark = pages.sparkSession
