@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from storefront.llm import bwt
 from storefront.llm.bwt import CELL, Cells
 from storefront.llm.common import chunks, text_bytes
-from storefront.llm.count_min import sketch
+from storefront.llm.count_min import WIDTH_BITS, sketch
 from storefront.llm.hashing import mixed
 from storefront.llm.window_groups import Groups, settle, settled_rows
 
@@ -206,7 +206,7 @@ class Reader:
             if not len(found.keys):
                 continue
             chosen = np.flatnonzero(self.marks.repeated(found.keys))
-            frequent = self.marks.frequent(found.keys[chosen])
+            frequent = self.marks.reaches(found.keys[chosen], self.marks.counts[-1])
             owners = keys[np.array(numbers)][found.owner[chosen]]
             shift = np.array(offsets)[found.owner[chosen]] - found.first[found.owner[chosen]]
             self._stretches(found, chosen, owners, shift, frequent)
@@ -349,10 +349,10 @@ def repeated_bytes(docs: DataFrame, shared: Broadcast) -> DataFrame:
     return parts.sortWithinPartitions("h1", "h2").mapInArrow(merge, "row_key long, start int, stop int")
 
 
-def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width_bits: int = WIDTH_BITS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept``: the bytes no repeated window covers."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, anchors_of, FREQUENT))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, anchors_of, (2, FREQUENT), width_bits))
     covered = repeated_bytes(keyed, shared).groupBy("row_key").agg(F.collect_list(F.struct("start", "stop")).alias("covered"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,8 @@ Pass 2 reads the texts again and takes up only windows whose anchor is estimated
 to occur twice; those are grouped exactly, by 96 bits of hash. None is lost: a low
 estimate proves that a window is alone. Pass 3 takes the covered words out.
 
-The sketch has a fixed width, and so has what is sent to the tasks; a corpus that fills it lets more windows through to the
-exact pass, with the same result. Windows that repeat within what a task holds are
+The sketch has a fixed width, and so has what is sent to the tasks; a corpus that fills
+it lets more windows through to the exact pass, with the same result. Windows that repeat within what a task holds are
 settled there, and it sends each of them on once, so a passage that stands in every
 document costs one row per task.
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storefront.llm.common import chunks, text_bytes
-from storefront.llm.count_min import sketch
+from storefront.llm.count_min import WIDTH_BITS, sketch
 from storefront.llm.hashing import mixed
 from storefront.llm.window_groups import Groups, settle
 
@@ -141,10 +141,10 @@ def repeated_windows(docs: DataFrame, shared: Broadcast) -> DataFrame:
     return parts.mapInArrow(group, "row_key long, place int")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, width_bits: int = WIDTH_BITS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` of each row: the words no repeated window covers, by one space."""
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, anchors_of))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, anchors_of, width_bits=width_bits))
     places = repeated_windows(keyed, shared).groupBy("row_key").agg(F.collect_list("place").alias("places"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
