@@ -114,7 +114,8 @@ def mix(
         "doc_id",
         "source",
         word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_h"),
+        # rows without an id are many, maybe: their texts spread them
+        F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.xxhash64("text"))).alias("_h"),
         *extra,
     )
     narrow = cut(sized) if not keep else sized

@@ -126,8 +126,8 @@ def fits(ids: np.ndarray) -> np.ndarray:
 def gram_counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of n-grams over all documents, and over the labelled good ones that fit the model.
 
-    Each task sends its counts once, in ``PIECES`` pieces that are summed apart;
-    the driver gets one vector of fixed length.
+    Each task sends its counts once, in ``PIECES`` pieces that are summed apart, as a
+    stream; the driver gets one vector of fixed length.
     """
     target_ids = ids[good & fits(ids)]
 
@@ -148,17 +148,30 @@ def gram_counts(docs: DataFrame, ids: np.ndarray, good: np.ndarray) -> tuple[np.
         sides = [pa.array([p.tobytes() for p in side], pa.binary()) for side in sums.reshape(2, PIECES, STEP)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), *sides], ["piece", "raw", "target"])
 
-    def merge(table: pa.Table) -> pa.Table:
-        sums = [sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column(name)) for name in ("raw", "target")]
-        return pa.table(
-            {"piece": table.column("piece")[:1], "raw": [sums[0].tobytes()], "target": [sums[1].tobytes()]},
-            pa.schema([("piece", pa.int32()), ("raw", pa.binary()), ("target", pa.binary())]),
-        )
+    def merge(batches):
+        # rows come sorted by piece; the sums of one piece are held at a time
+        current, sums = None, np.zeros((2, STEP), np.int64)
+
+        def done() -> pa.RecordBatch:
+            sides = [pa.array([side.tobytes()], pa.binary()) for side in sums]
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), *sides], ["piece", "raw", "target"])
+
+        for batch in batches:
+            for n, piece in enumerate(batch.column("piece").to_pylist()):
+                if piece != current:
+                    if current is not None:
+                        yield done()
+                    current, sums = piece, np.zeros((2, STEP), np.int64)
+                for side, name in zip(sums, ("raw", "target")):
+                    side += np.frombuffer(batch.column(name)[n].as_buffer(), np.int64)
+        if current is not None:
+            yield done()
 
     schema = "piece int, raw binary, target binary"
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, schema)
+    together = parts.repartition(F.col("piece")).sortWithinPartitions("piece")
     out = np.zeros((2, PIECES, STEP), np.int64)
-    for row in parts.groupBy("piece").applyInArrow(merge, schema).collect():
+    for row in together.mapInArrow(merge, schema).collect():
         out[0, row["piece"]] = np.frombuffer(row["raw"], np.int64)
         out[1, row["piece"]] = np.frombuffer(row["target"], np.int64)
     raw, target = out.reshape(2, -1)[:, : FAMILIES[-1]]
