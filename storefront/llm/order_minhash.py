@@ -1,11 +1,12 @@
 """Order MinHash: fingerprints that feel the order of a text, not only its parts.
 
-A text is cut into units (words, long ones in pieces), and every ``K`` neighbouring
-units are a k-mer. K-mers are numbered by occurrence, so that the second "a b c" is
-another element than the first. Elements fall by hash into 2 x ``TUPLES`` bins; of
-each bin the least element is selected. The two selected of neighbouring bins keep
-their order in the text, and the pair so ordered is hashed: a tuple agrees between
-two texts if both elements are minimal in both and stand in the same order.
+A text is cut into units (words, long ones in pieces; characters where a script has no
+blanks), and every ``K`` neighbouring units are a k-mer. K-mers are numbered by
+occurrence, so that the second "a b c" is another element than the first. Elements
+fall by hash into 2 x ``TUPLES`` bins; of each bin the least element is selected. The
+two selected of neighbouring bins keep their order in the text, and the pair so ordered
+is hashed: a tuple agrees between two texts if both elements are minimal in both and
+stand in the same order.
 
 Main path: DataFrame functions only. Documents are dealt into buckets of
 neighbouring ids once; everything after that stays in its bucket.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from storefront.llm.common import shuffle_partitions
 
-UNIT = r"[^\x20\x09-\x0D]{1,16}"
+#: Writing without blanks between words: there each character is a unit, so that an insertion shifts none.
+UNBROKEN = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{10FFFF}"
+UNIT = rf"[{UNBROKEN}]|[^\x20\x09-\x0D{UNBROKEN}]{{1,16}}"
 K = 3
 TUPLES = 64
 #: Buckets for each shuffle partition: a bucket's k-mers are sorted in memory.

@@ -26,6 +26,33 @@ def plain_edits(texts):
     return out
 
 
+def plain_units(run):
+    """Pieces of 16 characters; characters of scripts without blanks alone."""
+    piece = ""
+    for c in run:
+        alone = any(a <= ord(c) <= b for a, b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x10FFFF)))
+        if alone or len(piece) == 16:
+            if piece:
+                yield piece
+            piece = ""
+        if alone:
+            yield c
+        else:
+            piece += c
+    if piece:
+        yield piece
+
+
+def test_an_insertion_into_text_without_blanks(spark):
+    """One character in front of thousands changes a few tuples, not all."""
+    rng = random.Random(8)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(4000))
+    other = "".join(chr(rng.randrange(0x0E01, 0x0E3A)) for _ in range(4000))
+    rows = spark.createDataFrame([(4, "我" + text), (3, text), (2, "ก" + other), (1, other)], "doc_id long, text string")
+    near = {r["doc_id"]: r["near_next"] for r in rows_of(rows)}
+    assert near[4] > 0.9 and near[2] > 0.9 and near[3] < 0.1
+
+
 def test_against_a_plain_version(spark, docs, texts):
     """Selection, order and likeness from the k-mers' hashes, as Spark makes them, in plain Python."""
     rows = {r["doc_id"]: r for r in rows_of(docs)}
@@ -33,7 +60,7 @@ def test_against_a_plain_version(spark, docs, texts):
 
     kmers = {}
     for i, text in texts.items():
-        units = re.findall(r"[^\x20\x09-\x0D]{1,16}", text or "")
+        units = [u for run in re.findall(r"[^\x20\x09-\x0D]+", text or "") for u in plain_units(run)]
         own = [units[n : n + K] for n in range(len(units) - K + 1)] if len(units) >= K else [units] * bool(units)
         kmers[i] = own
     flat = sorted({tuple(k) for own in kmers.values() for k in own})
