@@ -62,7 +62,7 @@ MARKUP = [
 
 def test_anchors_and_start_tags_agree_with_the_node_stage(evaluate):
     pages = _texts(5, MARKUP, n=2000, longest=18)
-    nodes = [parse_nodes(p, Interest()) for p in pages]
+    nodes = [parse_nodes(p, Interest())[1] for p in pages]
     hrefs = [[v for n in found if n["tag"] == "a" for k, v in n["attrs"] if k == "href"] for found in nodes]
     assert evaluate(pages, markup.anchor_hrefs) == hrefs
     assert evaluate(pages, lambda c: F.size(markup.start_tags(c))) == [len(found) for found in nodes]
@@ -70,9 +70,10 @@ def test_anchors_and_start_tags_agree_with_the_node_stage(evaluate):
 
 def test_ranges_nest():
     for page in _texts(6, MARKUP, n=500, longest=30):
-        nodes = parse_nodes(page, Interest())
+        text, nodes = parse_nodes(page, Interest())
         assert [n["node"] for n in nodes] == list(range(len(nodes)))
         for n in nodes:
             assert n["node"] <= n["last"] < len(nodes) and n["beg"] <= n["end"] <= len(page)
+            assert text[n["head"] : n["tail"]].decode() == text[n["from"] : n["to"]].decode().strip(WHITESPACE)
             for m in nodes[n["node"] + 1 : n["last"] + 1]:
-                assert m["last"] <= n["last"] and m["end"] <= n["end"] and m["text"] in n["text"]
+                assert m["last"] <= n["last"] and m["end"] <= n["end"] and n["from"] <= m["from"] <= m["to"] <= n["to"]
