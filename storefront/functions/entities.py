@@ -39,6 +39,10 @@ def _by_letter(names: Mapping[str, str]) -> dict[str, dict[str, str]]:
     return maps
 
 
+def _literal(names: Mapping[str, str]) -> str:
+    return json.dumps(names).replace("'", "\\u0027")
+
+
 def _decoder(in_attribute: bool, names: Mapping[str, str]) -> str:
     """SQL lambda that decodes the piece after each ``&``; the piece before the first stays.
 
@@ -62,13 +66,15 @@ def _decoder(in_attribute: bool, names: Mapping[str, str]) -> str:
              ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END"""
 
     def by_name(pattern: str, known: Mapping[str, str]) -> str:
-        table = json.dumps(_by_letter(known)).replace("'", "\\u0027")
+        # a map in a map would keep Spark from seeing that two plans are the same
+        branches = " ".join(
+            f"WHEN '{letter}' THEN try_element_at(from_json(r'{_literal(names)}', 'map<string,string>'), name)"
+            for letter, names in _by_letter(known).items()
+        )
         return f"""
         transform(array(regexp_extract(piece, r'{pattern}', 1)),
                   name -> CASE WHEN name <> '' THEN
-                    concat(try_element_at(try_element_at(
-                             from_json(r'{table}', 'map<string,map<string,string>>'), left(name, 1)), name),
-                           substr(piece, length(name) + 1)) END)[0]"""
+                    concat(CASE left(name, 1) {branches} END, substr(piece, length(name) + 1)) END)[0]"""
 
     return f"""(piece, i) -> CASE
         WHEN i = 0 THEN piece
