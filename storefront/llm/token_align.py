@@ -203,11 +203,6 @@ def _names(count: int, end: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array([f"{n}," for n in range(count)], object), np.array([f"{n}{end}" for n in range(count)], object)
 
 
-def _within(ptr: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """How many entries each row of ``ptr`` holds, where ``entries`` are starts by smaller rows."""
-    return np.diff(entries[ptr])
-
-
 def align_texts(texts: Sequence[str | None], one: Coder, two: Coder) -> tuple[list[dict], np.ndarray, np.ndarray]:
     """For each text its figures and its pairs of ids; the pairs of all, and how often each is linked.
 
@@ -220,13 +215,12 @@ def align_texts(texts: Sequence[str | None], one: Coder, two: Coder) -> tuple[li
     coded = [place[start:end] for start, end in zip(bounds, bounds[1:])]
     found = align(units.tolist(), one, two)
     n_a, n_b = np.diff(found.a_ptr), np.diff(found.b_ptr)
-    unit_links = _within(found.a_ptr, found.links.ptr)
+    unit_links = np.diff(found.links.ptr[found.a_ptr])
     firsts = np.searchsorted(found.group_a, np.arange(found.n_groups))  # the first token of each group
     n_groups = np.diff(np.searchsorted(firsts, found.a_ptr))
-    shared = np.zeros(len(found.a) + 1, np.int64)
+    # a row of the product over groups has as many entries as its group has tokens of the other side
     by_a, by_b = found.groups()
-    for rows, _, _ in products(by_a, transposed(by_b)):
-        shared[: len(found.a)] += np.bincount(rows, minlength=len(found.a))
+    shared = np.diff(transposed(by_b).ptr)[by_a.idx]
     n_shared = np.diff(starts(shared)[found.a_ptr])
     named = group_texts(found, _names(len(one.pieces), "|"), _names(len(two.pieces), ";"))
 

@@ -151,6 +151,29 @@ def test_against_plain_version(spark, block):
     assert got[8][:6] == (0,) * 6 and got[7][0] > 0 and got[3] == got[14]
 
 
+def test_a_group_of_very_many_tokens_costs_linear_time():
+    """Tokens that never end together make one group: its links are counted, not laid out."""
+    from storefront.llm.token_align import Coder, align_texts
+
+    def coder(size, first):
+        def encode(units):
+            return [[0] * (first > 0) + [1] * ((len(u) - first) // size) + [0] * ((len(u) - first) % size) for u in units]
+
+        return Coder(encode, [b"x", b"x" * size], np.array([1, size], np.int64))
+
+    text = "x" * 400_001
+    one, two = coder(2, 0), coder(2, 1)
+    rows, _, _ = align_texts([text], Coder(lambda u: one.encode([x[1:] for x in u]), one.pieces, one.sizes), two)
+    assert rows[0]["n_links"] == 0  # the blank in front comes back from neither
+    plain = [b"x" * 2, b" x"]
+    left = Coder(lambda u: [[1, *[0] * ((len(x) - 2) // 2)] for x in u], plain, np.array([2, 2], np.int64))
+    right = Coder(lambda u: [[0, *[1] * ((len(x) - 2) // 2), 2] for x in u], [b" ", b"xx", b"x"], np.array([1, 2, 1], np.int64))
+    rows, _, _ = align_texts([text], left, right)
+    n = 200_001
+    assert (rows[0]["n_a"], rows[0]["n_b"], rows[0]["n_groups"]) == (n, n + 1, 1)
+    assert rows[0]["n_links"] == 2 * n and rows[0]["n_shared"] == n * (n + 1)
+
+
 def test_links_as_rows(spark, monkeypatch):
     monkeypatch.setattr(csr, "SLICE", 5)
     texts = [t for t in TEXTS if t is None or len(t) < 200]
