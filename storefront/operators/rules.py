@@ -31,6 +31,7 @@ from storefront.operators.nodes import (
     Sel,
     cut_text,
     html_nodes,
+    html_nodes_each,
     inside,
     interest_of,
     node_attr,
@@ -336,17 +337,16 @@ def listing_fields(
         on_page, before = F.col("page_name"), F.coalesce(F.col("page_names"), F.lit(0))
     else:
         on_page, before = F.lit(None).cast("string"), F.lit(0)
+    both = html_nodes_each({s: (F.col(f"{s}_html"), rules_interest(scoped)) for s, scoped in scopes.items()})
     parsed = listings.select(
         *keys,
         F.col(url).alias("_url"),
         (F.col(idx) - before).alias("_nth"),
         on_page.alias("_on_page"),
-        *(
-            html_nodes(F.col(f"{scope}_html"), rules_interest(scoped)).alias(f"_{scope}")
-            for scope, scoped in scopes.items()
-        ),
+        both.alias("_both"),
     )
     parsed = settled(parsed)
+    parsed = parsed.select("*", *(F.col(f"_both.{scope}").alias(f"_{scope}") for scope in scopes)).drop("_both")
     fields = list(dict.fromkeys(rule.field for rule in rules))
 
     def picked_field(field: str) -> Column:

@@ -198,6 +198,52 @@ def test_ancestors_at_any_depth(spark):
     assert found.first().t == ["yes"]
 
 
+def test_the_node_stage_holds_few_pages_at_a_time(spark, monkeypatch):
+    """However many pages Spark hands over at once; every page keeps its own elements, null and empty ones too."""
+    parse, held = node_ops.parse_nodes, [0]
+
+    class Found(list):
+        def __init__(self, nodes):
+            super().__init__(nodes)
+            held[0] += 1
+
+        def __del__(self):
+            held[0] -= 1
+
+    def counted(page, interest):
+        found = Found(parse(page, interest)[1])
+        return b"%d" % held[0], found
+
+    def rows(many, size):
+        html = F.concat(F.concat(F.lit("<i>"), F.col("id")), F.repeat(F.lit("<b c='d'>x"), size))
+        return spark.range(0, many, 1, 1).select("id", F.when(F.col("id") % 7 > 0, html).alias("html"))
+
+    monkeypatch.setattr(node_ops, "parse_nodes", counted)
+    page = node_ops.html_nodes(F.col("html"), Interest())
+    found = rows(4000, 50).select("id", page.alias("_page")).select(
+        "id", F.col("_page.text").cast("string").cast("int").alias("held"), F.size("_page.nodes").alias("n")
+    ).collect()
+    assert max(r.held for r in found) <= 300
+    assert sorted((r.id, r.n) for r in found) == [(i, 51 if i % 7 else 0) for i in range(4000)]
+    monkeypatch.undo()
+    both = {"a": (F.col("html"), Interest()), "b": (F.concat(F.lit("<u>"), "html"), Interest(tags=frozenset(["u"])))}
+    out = rows(600, 40).select("id", node_ops.html_nodes_each(both).alias("_both")).collect()
+    assert [(r.id, bytes(r._both.a.text)[:3], len(r._both.a.nodes), [n.tag for n in r._both.b.nodes]) for r in out] == [
+        (i, str(i).encode().ljust(3, b"x"), 41, ["u"]) if i % 7 else (i, b"", 0, []) for i in range(600)
+    ]
+
+
+def test_the_node_table_parses_each_page_once(spark):
+    """Spark asks for elements before it lays them out; that must not run the Python stage a second time."""
+    pages = spark.createDataFrame([(1, "<p>a <b>c</b></p>"), (1, "<p>a <b>c</b></p>"), (None, "<i>"), (3, ""), (4, None), (5, "t")], "id int, html string")
+    rows = node_ops.node_rows(pages, ["id"])
+    assert sorted(((r.id, r.node, r.tag, r.text) for r in rows.collect()), key=str) == [
+        (1, 0, "p", "a c"), (1, 0, "p", "a c"), (1, 1, "b", "c"), (1, 1, "b", "c"), (None, 0, "i", ""),
+    ]
+    for table in (rows, rows.drop("text"), rows.groupBy("id", "tag").count()):
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_phone_at_the_end_of_any_text(fields):
     far = "x" * 300
     cases = [
